@@ -1,0 +1,140 @@
+"""Secret scans: fixed patterns, and a token-efficiency test for random strings.
+
+Patterns (leftmost, non-overlapping, per kind): ``assign`` (a keyword, ``:`` or ``=``, a value of six or more
+characters), ``access`` (AKIA and 16 or more of A-Z0-9), ``hex`` (24 or more of 0-9a-f).
+
+The method: words of natural language take few tokens of a byte-level BPE vocabulary, random strings many.
+A run of 20 or more of ``A-Za-z0-9+/_=-`` that has a digit or both cases, and whose characters per token
+are at most ``MAX_RATIO``, is a span of kind ``random``.  Left out are runs that touch a pattern's span, and known
+digests and identifiers: hexadecimal strings of a digest's length, UUIDs, numbers (also grouped
+by - or _), and the strings in ``known``.
+
+Spans are in code points, end exclusive, of the whole text.  Defined results: a null or empty text
+has no spans; repeated rows give repeated rows; runs of any length are read whole.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_rows
+
+KINDS = ("assign", "access", "hex", "random")
+MIN_RUN, MAX_RATIO = 20, 2.0
+
+# The value is kept whole before its length is tested, as a failing match is still passed over.
+_ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+_ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+_HEX = re.compile(r"[0-9a-f]{24,}")
+_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
+_UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_NUMBER = re.compile(r"[0-9_-]+")
+_DIGEST = re.compile(r"[0-9a-fA-F]+")
+_DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
+#: The pattern's keywords end in one of these: a text without any has no assignment.
+_WORDS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
+
+Span = tuple[int, int, int]  # start, kind, end
+
+
+def base_spans(text: str) -> list[Span]:
+    out = []
+    if _WORDS.search(text):
+        out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    if "AKIA" in text:
+        out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
+    out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    return sorted(out)
+
+
+class Tester:
+    """The token-efficiency test under one tiktoken vocabulary."""
+
+    def __init__(self, path: str, pattern: str, known: frozenset[str] = frozenset(), max_ratio: float = MAX_RATIO):
+        import tiktoken
+
+        from .bpe import load_ranks
+
+        self.encode = tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
+        self.known, self.max_ratio = known, max_ratio
+        self.cache: dict[str, bool] = {}
+
+    def _test(self, run: str) -> bool:
+        if run in self.known or not (any(c.isdigit() for c in run) or run.lower() != run and run.upper() != run):
+            return False
+        if _NUMBER.fullmatch(run) or _UUID.fullmatch(run) or len(run) in _DIGEST_LENGTHS and _DIGEST.fullmatch(run):
+            return False
+        return len(run) <= self.max_ratio * len(self.encode(run))
+
+    def random(self, run: str) -> bool:
+        found = self.cache.get(run)
+        if found is None:
+            if len(self.cache) > 50_000:
+                self.cache.clear()
+            found = self.cache[run] = self._test(run)
+        return found
+
+    def spans(self, text: str) -> tuple[list[Span], list[Span]]:
+        """(base spans, all spans), by start, then kind."""
+        base = base_spans(text)
+        more = []
+        for m in _RUN.finditer(text):
+            if not any(a < m.end() and m.start() < b for a, _, b in base) and self.random(m.group()):
+                more.append((m.start(), 3, m.end()))
+        return base, sorted(base + more) if more else base
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def redact(text: str, spans: list[Span]) -> str:
+    """text with every maximal run of overlapping spans replaced by the name of its first kind."""
+    out, at = [], 0
+    for a, k, b in spans:
+        if a >= at:
+            out += [text[at:a], f"[{KINDS[k].upper()}]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def scan(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", known: frozenset[str] = frozenset()) -> DataFrame:
+    """key, n_assign, n_access, n_hex, n_random, base_sha256 and spans of every text."""
+    arrow = pa.schema([("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+
+    def make():
+        tester = Tester(path, pattern, known)
+
+        def work(cols):
+            found = [tester.spans(t) if t else ([], []) for t in cols[1]]
+            counts = [[sum(s[1] == k for s in every) for _, every in found] for k in range(len(KINDS))]
+            return [cols[0], *counts, [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], [joined(every) for _, every in found]]
+
+        return work
+
+    schema = "key bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string"
+    return map_rows(df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t")), make, schema, arrow).withColumnRenamed("key", key)
+
+
+def redacted(docs: DataFrame, path: str, pattern: str, text: str = "text", known: frozenset[str] = frozenset()) -> DataFrame:
+    """docs with all spans of ``text`` replaced by ``[KIND]``; null texts stay null, other columns as they are."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    at = docs.columns.index(text)
+
+    def make():
+        tester = Tester(path, pattern, known)
+
+        def work(cols):
+            cols[at] = [redact(t, tester.spans(t)[1]) if t else t for t in cols[at]]
+            return cols
+
+        return work
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_rows(docs, make, schema, to_arrow_schema(docs.schema))
