@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]
     tables are loaded once.  The output streams: one slice is in Python at a time.
     """
     bounded_batches(df.sparkSession)
+    # workers find this package where the driver did, unless it is installed there
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
