@@ -1 +1 @@
-
+"""Types and scalar expressions as Spark columns."""

@@ -1 +1 @@
-
+"""From rules to DataFrames: schemas, rule plans and fixpoints."""
