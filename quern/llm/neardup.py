@@ -11,7 +11,7 @@ have a Jaccard similarity of at least ``PERCENT`` / 100 are linked, and groups a
    alone, so that a hot key never makes all its pairs.  Pairs are tested by their minima, then on full sets, rebuilt
    from the whole texts of just those documents.
 4. Links give components, by alternating large-star and small-star.  A key whose documents are still
-   in several components takes further pivots, twice as many each round, against documents of other
+   in several components takes further pivots, four times as many each round, against documents of other
    components only, until each key is of one component or all were pivots; so no link is lost that the bands can see.
 
 At the similarity of exactly 0.8 the bands miss a pair with probability 3e-6, and the test of the
@@ -38,11 +38,12 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Of HASHES minima, so many must agree before the full sets are compared.
 AGREE = int(0.62 * HASHES)
+BUCKETS = 1 << 20
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
+_B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _POLY, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BAND = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -79,12 +80,12 @@ def shingles(text: str | None, hasher: Hasher, n: int = SHINGLE) -> np.ndarray:
 
 
 def minima(s: np.ndarray) -> np.ndarray:
-    """HASHES minima of a set that isn't empty: the high halves of a * x + b mod 2^64."""
-    best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(s), 512):
-        part = s[at : at + 512]
-        h = (part[None, :] * _A[:, None] + _B[:, None]) >> np.uint64(32)
-        np.minimum(best, h.min(axis=1).astype(np.uint32), out=best)
+    """HASHES minima of a set that isn't empty: of a * x + b mod 2^32 over the high halves x, a odd."""
+    best, x = np.full(HASHES, 0xFFFFFFFF, np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), 512):
+        h = np.multiply(x[at : at + 512, None], _A[None, :])
+        h += _B
+        np.minimum(best, h.min(axis=0), out=best)
     return best
 
 
@@ -93,6 +94,15 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return _mix((rows * _BAND[None, :]).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _POLY).view(np.int64)
 
 
+def narrowed(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """df without most rows whose column isn't in the one of wanted, before anything is shuffled; it loses none that is.
+
+    What is broadcast are the hash buckets of wanted: at most BUCKETS numbers, however many rows there are."""
+    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS))
+    marks = wanted.select(bucket.alias("_bucket")).distinct()
+    return df.join(F.broadcast(marks), bucket == F.col("_bucket"), "left_semi")
+
+
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
     import xxhash
 
@@ -127,7 +137,7 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.where(agree >= AGREE).select("a", "b").distinct()
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -153,7 +163,6 @@ def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
 
         return work
 
-    texts = docs.toDF("id", "text")
     both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
     return map_rows(both, make, "a bigint, b bigint", arrow).distinct()
 
@@ -205,19 +214,19 @@ def groups(documents: DataFrame, key: str = "doc_id", text: str = "text", shingl
     copies = checkpoint(copies.distinct())
     reps = full.join(first.select(F.col("digest"), F.col("rep").alias("id")), ["digest", "id"], "left_semi").select("id", "minima", "keys").distinct()
     everyone = reps.select("id", F.explode("keys").alias("key"))
-    pivots = everyone.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("key", "pivot")
-    # keys of one document alone are gone from here on
-    members = checkpoint(everyone.join(pivots, "key").select("key", "id", "pivot").distinct())
-    sk = checkpoint(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "minima"))
+    pivots = checkpoint(everyone.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("key", "pivot"))
+    # keys of one document alone are gone from here on, and so are documents that have only such
+    members = checkpoint(narrowed(everyone, "key", pivots).join(pivots, "key").select("key", "id", "pivot").distinct())
+    ids = checkpoint(members.select("id").distinct())
+    sk = checkpoint(narrowed(reps.select("id", "minima"), "id", ids).join(ids, "id", "left_semi"))
+    texts = checkpoint(narrowed(docs, "id", ids).join(ids, "id", "left_semi"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        near = checkpoint(_agreeing(pairs, sk))
-        wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-        return checkpoint(_linked(near, docs.join(wanted, "id", "left_semi"), shingle, percent))
+        return checkpoint(_linked(checkpoint(_agreeing(pairs, sk)), texts, shingle, percent))
 
     edges = confirmed(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     comp = checkpoint(components(edges.unionByName(copies)))
-    n, tried = 1, checkpoint(members.select("key", F.col("pivot").alias("id")).distinct())
+    n, tried = 2, checkpoint(members.select("key", F.col("pivot").alias("id")).distinct())
     while True:
         left = checkpoint(_open_keys(members.select("key", "id"), comp))
         if left.isEmpty():
@@ -234,7 +243,7 @@ def groups(documents: DataFrame, key: str = "doc_id", text: str = "text", shingl
             edges = checkpoint(edges.unionByName(new).distinct())
             comp = checkpoint(components(edges.unionByName(copies)))
         tried = checkpoint(tried.unionByName(chosen.select("key", "id")))
-        n *= 2
+        n *= 4
     out = sketches.select("id", "n").join(comp, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
