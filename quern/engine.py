@@ -16,7 +16,7 @@ from .lang.parser import parse
 from .lang.passes import check_safety, constraint_name, desugar, expand_functions, link, magic, query_name
 from .lang.stratify import Key, key, order, strata
 from .plans import fixpoint
-from .plans.relation import Relation, empty, given
+from .plans.relation import Relation, arity, empty, given
 from .plans.rules import compile_rule
 from .plans.schema import check_rules, infer
 from .sources.facts import facts_frame
@@ -53,7 +53,7 @@ class Compiled:
         if any(isinstance(x, Modal) for r in self.rules for x in r.body):
             raise CompileError("the program has modal literals: run it with quern.epistemic")
         check_safety(self.rules)
-        given_types = {(n, len(df.columns)): tuple(of_spark(t) for _, t in df.dtypes) for n, df in inputs.items()}
+        given_types = {(n, arity(df)): tuple(of_spark(t) for _, t in df.dtypes[: arity(df)]) for n, df in inputs.items()}
         self.types = infer(p, self.rules, given_types)
         check_rules(self.rules, self.types)
         self.order = order(self.rules)
@@ -115,15 +115,15 @@ class Engine:
         out: dict[Key, Relation] = {}
         for k, t in compiled.types.items():
             parts = []
-            if k[0] in inputs and len(inputs[k[0]].columns) == k[1]:
+            if k[0] in inputs and arity(inputs[k[0]]) == k[1]:
                 parts.append(given(inputs[k[0]], t).df)
             if k in compiled.program.facts:
                 parts.append(facts_frame(self.spark, compiled.program.facts[k], t))
             if parts:
                 out[k] = Relation(reduce(DataFrame.union, parts).distinct(), t)
         for n, df in inputs.items():
-            if not any(k[0] == n and k[1] == len(df.columns) for k in compiled.types):
-                out[n, len(df.columns)] = given(df)
+            if (n, arity(df)) not in compiled.types:
+                out[n, arity(df)] = given(df)
         return out
 
     def run(self, program: str | Program | Compiled, inputs: dict[str, DataFrame] | None = None, modules: dict[str, str] | str | None = None, check: bool = True) -> Result:

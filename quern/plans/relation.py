@@ -28,8 +28,15 @@ class Relation:
         return Relation(self.df.distinct(), self.types)
 
 
+def arity(df: DataFrame) -> int:
+    """Columns of an input; one that has only the hidden column is a truth value."""
+    return 0 if df.columns == [UNIT] else len(df.columns)
+
+
 def given(df: DataFrame, types: tuple[str, ...] | None = None) -> Relation:
-    """An input DataFrame as a relation: a set without nulls."""
+    """An input DataFrame as a relation; nulls have no meaning in programs, callers leave them out."""
+    if not arity(df):
+        return Relation(df.select(F.lit(1).alias(UNIT)), ())
     kinds = tuple(of_spark(t) for _, t in df.dtypes)
     if types is not None and len(types) != len(kinds):
         raise TypeMismatch(f"an input has {len(kinds)} columns, its declaration {len(types)}")
