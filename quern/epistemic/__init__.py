@@ -29,6 +29,11 @@ def _ordinary(x):
     return x if not isinstance(x, Modal) else Not(x.atom) if x.negated else x.atom
 
 
+def _body(xs) -> tuple:
+    """Literals under founded beliefs, negations last: a modal chain may stand before what binds its variables."""
+    return tuple(sorted(map(_ordinary, xs), key=lambda x: isinstance(x, Not)))
+
+
 def _split(p: Program) -> tuple[Program, list[tuple[Modal, ...]]]:
     """The program without its modal constraints, and these."""
     out, modal = p.copy(), []
@@ -112,7 +117,7 @@ def run(spark: SparkSession, program: str | Program, inputs: dict[str, DataFrame
 
 def _reduced(p: Program) -> Program:
     out = p.copy()
-    out.rules = [Rule(r.head, tuple(map(_ordinary, r.body)), r.mask) for r in p.rules]
+    out.rules = [Rule(r.head, _body(r.body), r.mask) for r in p.rules]
     return out
 
 
@@ -186,12 +191,12 @@ def _g91(engine: Engine, p: Program, inputs: dict[str, DataFrame], limit: int) -
     upper, frozen = p.copy(), p.copy()
     upper.rules, frozen.rules = [], []
     for r in p.rules:
-        rest = tuple(_ordinary(x) for x in r.body if not circular(r, x))
+        rest = _body(x for x in r.body if not circular(r, x))
         bound = {v for x in rest for v in literal_vars(x)}
         if any(v not in bound for a in r.head.args for v in term_vars(a)):
             raise UnsupportedEpistemicConstruct(f"in {r}: a circular belief must not bind the head's variables alone")
         upper.rules.append(Rule(r.head, rest, r.mask))
-        frozen.rules.append(Rule(r.head, tuple(Atom(_FROZEN + x.atom.name, x.atom.args) if circular(r, x) else _ordinary(x) for x in r.body), r.mask))
+        frozen.rules.append(Rule(r.head, _body(Atom(_FROZEN + x.atom.name, x.atom.args) if circular(r, x) else x for x in r.body), r.mask))
     # rules without a body are facts
     for r in [r for r in upper.rules if not r.body]:
         upper.rules.remove(r)
