@@ -5,7 +5,7 @@ its distinct runs of ``SHINGLE`` words (fewer words: the whole sequence as one).
 have a Jaccard similarity of at least ``PERCENT`` / 100 are linked, and groups are the connected components.
 
 1. One pass computes of every document the size of its set, a 128-bit digest of the set, ``BANDS`` x ``ROWS`` minima
-   under universal hash functions, and a key for each band.  Texts don't leave the scan.
+   under universal hash functions (their low bytes are kept), and a key for each band.  Texts don't leave the scan.
 2. Documents with equal sets are copies: they link to the smallest id of theirs, and only that one goes on.
 3. Of each band key the smallest id (a partial aggregate) is the pivot; the key's other documents are compared with it
    alone, so that a hot key never makes all its pairs.  Pairs are tested by their minima, then on full sets, rebuilt
@@ -15,7 +15,7 @@ have a Jaccard similarity of at least ``PERCENT`` / 100 are linked, and groups a
    components only, until each key is of one component or all were pivots; so no link is lost that the bands can see.
 
 At the similarity of exactly 0.8 the bands miss a pair with probability 3e-6, and the test of the
-minima (``AGREE``) with 1e-8; above it both fall fast.
+minima (``AGREE``) with 5e-6; above it both fall fast.
 
 Defined results: documents without words (null, empty) are linked with nothing and have size 0; a document without
 id is linked with nothing, its component is null and it is kept; rows that share an id are one document of
@@ -24,8 +24,6 @@ several texts, linked if any of them is; repeated rows give repeated rows.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +34,9 @@ from .common import checkpoint, map_rows
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
-#: Of HASHES minima, so many must agree before the full sets are compared.
-AGREE = int(0.62 * HASHES)
+#: Of the low bytes of HASHES minima, so many must agree before the full sets are compared.
+AGREE = int(0.66 * HASHES)
 BUCKETS = 1 << 20
-_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -51,12 +47,12 @@ _BAND = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uin
 class Hasher(dict):
     """word -> 64-bit hash; forgets all words when it holds too many."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) > 500_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
@@ -68,7 +64,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, hasher: Hasher, n: int = SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's runs of n words."""
-    ws = [w for w in _SPLIT.split(text.translate(_LOWER)) if w] if text else []
+    ws = text.encode().lower().split() if text else []  # of bytes, both know ASCII only
     if not ws:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hasher.__getitem__, ws), np.uint64, len(ws))
@@ -118,7 +114,7 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 row = (0, None, None, None)
                 if len(s):
                     m = minima(s)
-                    row = (len(s), xxhash.xxh3_128_digest(s.tobytes()), m.tobytes(), band_keys(m))
+                    row = (len(s), xxhash.xxh3_128_digest(s.tobytes()), m.astype(np.uint8).tobytes(), band_keys(m))
                 for o, x in zip(out, row, strict=True):
                     o.append(x)
             return [cols[0], *out]
@@ -132,8 +128,8 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) of which enough minima agree."""
     sk = sketches.select("id", "minima")
     both = pairs.join(sk.toDF("a", "ma"), "a").join(sk.toDF("b", "mb"), "b")
-    at = F.sequence(F.lit(1), F.lit(4 * HASHES - 3), F.lit(4))
-    agree = F.aggregate(at, F.lit(0), lambda n, i: n + F.when(F.substr("ma", i, F.lit(4)) == F.substr("mb", i, F.lit(4)), 1).otherwise(0))
+    at = F.sequence(F.lit(1), F.lit(HASHES))
+    agree = F.aggregate(at, F.lit(0), lambda n, i: n + F.when(F.substr("ma", i, F.lit(1)) == F.substr("mb", i, F.lit(1)), 1).otherwise(0))
     return both.where(agree >= AGREE).select("a", "b").distinct()
 
 
@@ -221,10 +217,13 @@ def groups(documents: DataFrame, key: str = "doc_id", text: str = "text", shingl
     sk = checkpoint(narrowed(reps.select("id", "minima"), "id", ids).join(ids, "id", "left_semi"))
     texts = checkpoint(narrowed(docs, "id", ids).join(ids, "id", "left_semi"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return checkpoint(_linked(checkpoint(_agreeing(pairs, sk)), texts, shingle, percent))
+    def confirmed(pairs: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(links, all pairs compared so far); no pair is compared twice."""
+        near = _agreeing(pairs, sk)
+        near = checkpoint(near if before is None else near.join(before, ["a", "b"], "left_anti"))
+        return checkpoint(_linked(near, texts, shingle, percent)), near if before is None else checkpoint(before.unionByName(near))
 
-    edges = confirmed(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    edges, compared = confirmed(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), None)
     comp = checkpoint(components(edges.unionByName(copies)))
     n, tried = 2, checkpoint(members.select("key", F.col("pivot").alias("id")).distinct())
     while True:
@@ -238,7 +237,7 @@ def groups(documents: DataFrame, key: str = "doc_id", text: str = "text", shingl
             break
         pairs = chosen.select("key", F.col("id").alias("p"), F.col("c").alias("pc")).join(left, "key").where("pc <> c and p <> id")
         pairs = pairs.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-        new = confirmed(pairs)
+        new, compared = confirmed(pairs, compared)
         if not new.isEmpty():
             edges = checkpoint(edges.unionByName(new).distinct())
             comp = checkpoint(components(edges.unionByName(copies)))
