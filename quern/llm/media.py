@@ -214,6 +214,8 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
 def differences(frames: np.ndarray, bins: int = 16) -> np.ndarray:
     """Histogram difference (0 to 1) of each frame to the one before; 0 for the first."""
     n = len(frames)
+    if not n:
+        return np.zeros(0)
     flat = frames.reshape(n, -1)
     at = (flat.astype(np.int64) * bins >> 8) + np.arange(n)[:, None] * bins
     h = np.bincount(at.ravel(), minlength=n * bins).reshape(n, bins)

@@ -129,10 +129,10 @@ bins AS (
   SELECT least({urls.BINS}, greatest(-{urls.BINS}, floor(score / {width})::BIGINT)) AS bin, sum(good::INT) AS g, sum((NOT good)::INT) AS b
   FROM scores JOIN decided USING (s) WHERE held GROUP BY 1),
 ways AS (
-  SELECT bin, sum(g) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above, coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+  SELECT bin, bin - coalesce((bin - lag(bin) OVER (ORDER BY bin)) // 2, 0) AS cut, sum(g) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above, coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
     sum(g) OVER () AS good, sum(b) OVER () AS bad FROM bins),
-best AS (SELECT bin FROM ways WHERE good > 0 AND bad > 0 ORDER BY above * bad + below * good DESC, bin LIMIT 1),
-cut AS (SELECT coalesce((SELECT bin FROM best), 0) * {width} AS least)
+best AS (SELECT cut FROM ways WHERE good > 0 AND bad > 0 ORDER BY above * bad + below * good DESC, bin LIMIT 1),
+cut AS (SELECT coalesce((SELECT cut FROM best), 0) * {width} AS least)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(score, 0) >= least THEN 'allow' ELSE 'block' END) AS verdict
 FROM rows LEFT JOIN scores USING (s), cut
 """

@@ -7,7 +7,8 @@ shorter one, down to a uniform one (Witten-Bell style, with a fixed weight: p(c
 Every gram of ``order`` + 1 characters thus has one log ratio, quantised to millionths, and a url's
 score is the mean of its grams' ratios.  The threshold is calibrated on every fifth distinct decided url (by
 md5), whose grams aren't counted: the score bin that best separates
-accepted from rejected ones, by balanced accuracy, the lowest among equals.
+accepted from rejected ones, by balanced accuracy, the lowest among equals, moved halfway to the next lower bin that
+holds any.
 
 What is gathered from the pages: the grams of all distinct decided urls, counted with partial
 aggregation.  Only bin counts (at most ``2 * BINS + 1`` rows) come to the driver.
@@ -105,12 +106,13 @@ def threshold(held: DataFrame) -> int:
         return 0
     # allow from bin i on: good ones at or above it, bad ones below it
     below_g = below_b = 0
-    best, where = None, 0
+    best, where, before = None, 0, None
     for r in rows:
         value = (good - below_g) * bad + below_b * good
         if best is None or value > best:
-            best, where = value, r.at
-        below_g, below_b = below_g + r.g, below_b + r.b
+            # halfway to the bin before, where nothing lies between
+            best, where = value, r.at - (0 if before is None else (r.at - before) // 2)
+        below_g, below_b, before = below_g + r.g, below_b + r.b, r.at
     return int(where) * width
 
 
