@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -255,4 +256,134 @@ program(
     f"SELECT a AS x, b AS y FROM {_FOLLOWS} WHERE b IS NOT NULL", "x y", more={"follows": follows}, options=Options(masks={"on": True}),
 )
 
+# ---- sources, sessions, probabilities, modalities, induction
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of nations through the CSV writer and the triple reader."""
+    from .plans.fixpoint import ensure_checkpoint_dir
+    from .sources import files
+
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/triples-{uuid.uuid4().hex}.csv"
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows.select(F.col("n_name").alias("subject"), F.lit("in").alias("predicate"), F.col("r_name").alias("object"), F.when(F.col("n_nationkey") < 9, "train").alias("split")).write.csv(at, header=True)
+    return files.read_triples(spark, at).select("subject", "predicate", "object", "split")
+
+
+query(
+    "source_triples", _triples,
+    "SELECT n_name AS subject, 'in' AS predicate, r_name AS object, CASE WHEN n_nationkey < 9 THEN 'train' ELSE 'unspecified' END AS split FROM nation JOIN region ON r_regionkey = n_regionkey",
+)
+
+
+def _session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without orders after the orders of status F were deleted and some of them inserted again."""
+    from .streaming.session import Delta, Session
+
+    orders, customers = (relation(spark, sf_dir, n) for n in ("order", "customer"))
+    s = Session(Engine(spark), "active(C) :- order(_, C, _). idle(C) :- customer(C, _, _), not active(C). ?- idle(C).", {"order": orders, "customer": customers})
+    s.evaluate()
+    gone = orders.where("o_orderstatus = 'F'")
+    s.apply({"order": Delta(insert=gone.where("o_custkey % 2 = 0"), delete=gone)})
+    return s.evaluate().queries[0].toDF("c")
+
+
+query(
+    "session_delta", _session,
+    "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND (o_orderstatus <> 'F' OR o_custkey % 2 = 0))",
+)
+
+
+def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a nation is reached from region 0's, each with probability (key + 1) / 32."""
+    from . import prob
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()
+    text = " ".join(f"{(r[0] + 1) / 32:.5f}::on({r[0]})." for r in rows) + " ".join(f"at({r[0]}, {r[1]})." for r in rows) + " lit(R) :- at(N, R), on(N). query(lit(R))."
+    return spark.createDataFrame([(int(a.atom[4:-1]), round(a.probability, 6)) for a in prob.exact(text)], "region bigint, probability double")
+
+
+query(
+    "probability_exact", _exact,
+    "SELECT CAST(n_regionkey AS BIGINT) AS region, round(1 - product(1 - (n_nationkey + 1) / 32.0::DOUBLE), 6) AS probability FROM nation GROUP BY 1",
+)
+
+
+def _monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the exact probability lies in the sampled interval, for two regions."""
+    from . import prob
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()
+    text = " ".join(f"{(r[0] + 1) / 64:.6f}::on({r[0]})." for r in rows) + " ".join(f"at({r[0]}, {r[1]})." for r in rows) + " lit(R) :- at(N, R), on(N). query(lit(0)). query(lit(1))."
+    want = prob.exact(text)
+    got = prob.monte_carlo(spark, text, samples=2000, seed=3, confidence=0.99999)
+    return spark.createDataFrame([(int(e.atom[4:-1]), e.low <= a.probability <= e.high) for a, e in zip(want, got, strict=True)], "region bigint, inside boolean")
+
+
+query("probability_monte_carlo", _monte_carlo, "SELECT CAST(r_regionkey AS BIGINT) AS region, true AS inside FROM region WHERE r_regionkey < 2")
+
+
+def _modal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import epistemic
+
+    text = "sure(S) :- supplier(S, N), know home(N). home(N) :- customer(_, N, _). doubt(S) :- supplier(S, N), not know home(N). out(S, 1) :- sure(S). out(S, 0) :- doubt(S). ?- out(S, K)."
+    inputs = {n: relation(spark, sf_dir, n) for n in ("supplier", "customer")}
+    return epistemic.run(spark, text, inputs).queries[0].toDF("s", "k")
+
+
+query("modal_know", _modal, "SELECT s_suppkey AS s, CAST(CASE WHEN s_nationkey IN (SELECT c_nationkey FROM customer) THEN 1 ELSE 0 END AS BIGINT) AS k FROM supplier")
+
+
+def _well_founded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winning positions of the game of moving along follows: a position wins if some move leads to one that doesn't."""
+    from . import epistemic
+
+    text = "win(X) :- move(X, Y), not know win(Y). ?- win(X)."
+    orders = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    moves = orders.where("n_nationkey > n_regionkey")
+    return epistemic.run(spark, text, {"move": moves}).queries[0].toDF("x")
+
+
+query(
+    "modal_well_founded", _well_founded,
+    "WITH RECURSIVE m AS (SELECT n_nationkey AS a, n_regionkey AS b FROM nation WHERE n_nationkey > n_regionkey), d(x, k) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey NOT IN (SELECT a FROM m) UNION ALL SELECT m.a, k + 1 FROM d JOIN m ON m.b = d.x) SELECT DISTINCT x FROM d WHERE k % 2 = 1",
+)
+
+
+def _induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which chain explains (order, nation) pairs: order -> customer -> nation."""
+    from . import induce
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    homes = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint"))
+    regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint"), F.col("n_regionkey").cast("bigint"))
+    good = orders.join(homes, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    bad = good.select("o_orderkey", (F.col("c_nationkey") + 1).alias("n"))
+    return induce.induce([orders, homes, regions], good, bad, 1, ["chain"]).select("topology", "left", "right", "pos", "neg")
+
+
+query(
+    "induction_chain", _induction,
+    "SELECT 'chain' AS topology, CAST(0 AS INT) AS \"left\", CAST(1 AS INT) AS \"right\", CAST(count(DISTINCT o_orderkey) AS BIGINT) AS pos, CAST(0 AS BIGINT) AS neg FROM orders JOIN customer ON c_custkey = o_custkey",
+)
+
+# ---- modules, domains, named columns, types
+query(
+    "modules_and_domains",
+    lambda s, d: Engine(s).run(
+        "use geo/places::{located}. ?- located(N, R).", {n: relation(s, d, n) for n in ("nation", "region")},
+        {"geo/places": "domain name: symbol. pred located(nation: name, region: name). private pred key(u32, name). key(K, R) :- region(K, R). located(N, R) :- nation(_, N, K), key(K, R)."},
+    ).queries[0].toDF("n", "r"),
+    "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON r_regionkey = n_regionkey",
+)
+query(
+    "constraint_holds",
+    lambda s, d: Engine(s).run("known(C) :- customer(C, _, _). :- order(_, C, _), not known(C). ?- customer(C, N, S).", {n: relation(s, d, n) for n in ("order", "customer")}).queries[0].toDF("c", "n", "s"),
+    "SELECT c_custkey AS c, c_nationkey AS n, c_mktsegment AS s FROM customer",
+)
+program(
+    "same_generation", "sg(X, X) :- follows(X, _). sg(X, Y) :- follows(X, A), follows(Y, B), sg(A, B). ?- sg(X, Y).",
+    f"WITH RECURSIVE f AS MATERIALIZED (SELECT a, b FROM {_FOLLOWS} WHERE b IS NOT NULL), s(x, y) AS (SELECT a, a FROM f UNION SELECT p.a, q.a FROM s JOIN f p ON p.b = s.x JOIN f q ON q.b = s.y) SELECT x, y FROM s",
+    "x y", more={"follows": follows},
+)
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
