@@ -235,3 +235,32 @@ def test_tools(spark, tmp_path, capsys):
     assert main(["run", str(tmp_path / "absent.dl")], spark, out) == 1 and main(["nonsense"], spark, out) == 2
     assert main(["run", str(f), "--output", str(tmp_path / "o"), "--format", "json"], spark, out) == 0
     assert spark.read.json(str(tmp_path / "o" / "query_0.json")).count() == 2
+
+
+def test_neural_predicates(spark):
+    import numpy as np
+
+    from quern.prob import neural
+
+    text = "nn(digits, [X], Y, [0, 1, 2]) :: digit(X, Y). total(A, B, S) :- digit(A, X), digit(B, Y), S is X + Y. query(total(1, 2, 2))."
+    make = lambda: lambda b: np.array([[0.2, 0.5, 0.3] if x == 1 else [0.1, 0.6, 0.3] for x in b.iloc[:, 0]])
+    images = spark.createDataFrame([(1,), (2,)], "x long")
+    got = neural.answer(spark, text, {"digits": make}, {"digit": images})
+    assert abs(got[0].probability - (0.2 * 0.3 + 0.5 * 0.6 + 0.3 * 0.1)) < 1e-12
+    p = neural.predictions(images, make, [0, 1, 2])
+    assert p.count() == 6 and abs(neural.noisy_or(p.where("label > 0"), ["x"]).where("x = 1").first().probability - (1 - 0.5 * 0.7)) < 1e-9
+    assert neural.embeddings(images, make).first().embedding == [0.2, 0.5, 0.3]
+
+
+def test_doubling_closure_equals_single_steps(spark):
+    rnd = random.Random(8)
+    edges = {(rnd.randint(0, 25), rnd.randint(0, 25)) for _ in range(32)}
+    reach = set(edges)
+    while new := {(a, d) for a, b in reach for c, d in edges if b == c} - reach:
+        reach |= new
+    for text in ("p(X, Y) :- e(X, Y). p(X, Z) :- p(X, Y), e(Y, Z).", "p(X, Z) :- e(X, Y), p(Y, Z). p(X, Y) :- e(X, Y)."):
+        got = Engine(spark).run(text + " ?- p(X, Y).", {"e": pairs(spark, *edges)}).queries[0].collect()
+        assert set(map(tuple, got)) == reach and len(got) == len(reach)
+    # facts of its own make it no closure
+    got = Engine(spark).run("p(50, 0). p(X, Y) :- e(X, Y). p(X, Z) :- p(X, Y), e(Y, Z). ?- p(50, Y).", {"e": pairs(spark, *edges)}).queries[0].collect()
+    assert {r[0] for r in got} == {0} | {b for a, b in reach if a == 0}
