@@ -176,11 +176,8 @@ def loader(modules: dict[str, str] | str | None):
             return parse(modules[path]) if path in modules else None
         if modules is None:
             return None
-        for end in (".dl", ".xlog", ""):
-            f = Path(modules, path + end)
-            if f.is_file():
-                return parse(f.read_text())
-        return None
+        found = sorted(f for f in Path(modules, path).parent.glob(Path(path).name + ".*") if f.is_file())
+        return parse(found[0].read_text()) if found else None
 
     return load
 

@@ -55,4 +55,4 @@ def four_cycles(r1: DataFrame, r2: DataFrame, r3: DataFrame, r4: DataFrame) -> D
     """(w, x, y, z) of r1(w, x), r2(x, y), r3(y, z), r4(z, w); the paths of two meet on both ends."""
     left = r1.toDF("w", "x").distinct().join(r2.toDF("x", "y").distinct(), "x")
     right = r3.toDF("y", "z").distinct().join(r4.toDF("z", "w").distinct(), "z")
-    return left.join(right, ["w", "y"]).select("w", "x", "y", "z")
+    return left.join(right, ["w", "y"]).select(*"wxyz")

@@ -78,13 +78,13 @@ _TOGETHER = "(SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x
 # ---- recursion
 program(
     "reach_closure",
-    "reach(X, Y) :- follows(X, Y). reach(X, Z) :- reach(X, Y), follows(Y, Z). ?- reach(X, Y).",
+    "later(From, To) :- follows(From, To). later(From, End) :- later(From, Mid), follows(Mid, End). ?- later(From, To).",
     f"WITH RECURSIVE f AS MATERIALIZED (SELECT a, b FROM {_FOLLOWS} WHERE b IS NOT NULL), r(a, b) AS (SELECT a, b FROM f UNION SELECT r.a, f.b FROM r JOIN f ON f.a = r.b) SELECT a AS src, b AS dst FROM r",
     "src dst", more={"follows": follows},
 )
 program(
     "reach_bound_magic",
-    "reach(X, Y) :- follows(X, Y). reach(X, Z) :- reach(X, Y), follows(Y, Z). ?- reach(1, Y).",
+    "later(From, To) :- follows(From, To). later(From, End) :- later(From, Mid), follows(Mid, End). ?- later(1, To).",
     f"WITH RECURSIVE f AS MATERIALIZED (SELECT a, b FROM {_FOLLOWS} WHERE b IS NOT NULL), r(b) AS (SELECT b FROM f WHERE a = 1 UNION SELECT f.b FROM r JOIN f ON f.a = r.b) SELECT b AS dst FROM r",
     "dst", more={"follows": follows}, options=Options(magic_sets="on"),
 )
@@ -96,7 +96,7 @@ program(
 )
 program(
     "nonlinear_recursion",
-    "reach(X, Y) :- follows(X, Y). reach(X, Z) :- reach(X, Y), reach(Y, Z). far(X, count(Y)) :- reach(X, Y). ?- far(X, N).",
+    "later(From, To) :- follows(From, To). later(From, End) :- later(From, Mid), later(Mid, End). far(From, count(To)) :- later(From, To). ?- far(From, N).",
     f"WITH RECURSIVE f AS MATERIALIZED (SELECT a, b FROM {_FOLLOWS} WHERE b IS NOT NULL), r(a, b) AS (SELECT a, b FROM f UNION SELECT r.a, f.b FROM r JOIN f ON f.a = r.b) SELECT a AS src, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY a",
     "src n", more={"follows": follows},
 )
@@ -221,7 +221,7 @@ query(
     "WITH a AS (SELECT DISTINCT c_nationkey AS s, c_custkey % 40 AS t FROM customer), b AS (SELECT DISTINCT s_suppkey % 40 AS s, s_nationkey AS t FROM supplier) SELECT p.s AS w, p.t AS x, r.s AS y, r.t AS z FROM a p JOIN b q ON q.s = p.t JOIN a r ON r.s = q.t JOIN b u ON u.s = r.t AND u.t = p.s",
 )
 program(
-    "multiway_triangle_rule", "tri(A, B, C) :- e(A, B), e(B, C), e(A, C). ?- tri(A, B, C).",
+    "multiway_triangle_rule", "corner(Low, Mid, Top) :- e(Low, Mid), e(Low, Top), e(Mid, Top). ?- corner(Low, Mid, Top).",
     f"WITH e AS MATERIALIZED (SELECT * FROM {_TOGETHER}) SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = x.a AND z.b = y.b", "a b c", more={"e": together},
 )
 
@@ -248,7 +248,7 @@ query(
 )
 query(
     "operator_masked_join",
-    lambda s, d: relational.masked_join([follows(s, d), table(s, d, "orders").select("o_orderkey", "o_custkey")], [(0, 0, 0), (0, 1, 1)]),
+    lambda s, d: relational.masked_join([follows(s, d), table(s, d, "orders").select("o_orderkey", "o_custkey")], [(0, 1, 1), (0, 0, 0)]),
     f"WITH f AS (SELECT a, b FROM {_FOLLOWS} WHERE b IS NOT NULL) SELECT DISTINCT CAST(0 AS INT) AS k, x.a AS x, y.b AS z FROM f x JOIN f y ON y.a = x.b UNION SELECT 1, a, o_custkey FROM f JOIN orders ON o_orderkey = b",
 )
 program(

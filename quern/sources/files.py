@@ -52,6 +52,16 @@ def _open_arrow(path: str):
         return pa.ipc.open_stream(source)
 
 
+def from_arrow(spark: SparkSession, table: pa.Table | pa.RecordBatch) -> DataFrame:
+    """A relation from Arrow data that the driver holds."""
+    return spark.createDataFrame(pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table)
+
+
+def to_arrow(df: DataFrame) -> pa.Table:
+    """A whole result as one Arrow table, for results known to fit on the driver."""
+    return df.toArrow()
+
+
 def write_arrow(df: DataFrame, folder: str) -> None:
     """One Arrow IPC stream file for each partition, written where the partition is."""
     Path(folder).mkdir(parents=True, exist_ok=True)

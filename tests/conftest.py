@@ -1,11 +1,11 @@
 import os
 import sys
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+TOP = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path[:0] = [TOP]
+os.environ.setdefault("PYTHONPATH", TOP)
 
 
 @pytest.fixture(scope="session")
