@@ -264,3 +264,28 @@ def test_doubling_closure_equals_single_steps(spark):
     # facts of its own make it no closure
     got = Engine(spark).run("p(50, 0). p(X, Y) :- e(X, Y). p(X, Z) :- p(X, Y), e(Y, Z). ?- p(50, Y).", {"e": pairs(spark, *edges)}).queries[0].collect()
     assert {r[0] for r in got} == {0} | {b for a, b in reach if a == 0}
+
+
+def test_gradients_find_the_rule(spark):
+    from quern.induce import differentiable
+
+    rels = [pairs(spark, *((i, i + 100) for i in range(30))), pairs(spark, *((i + 100, i + 200) for i in range(30))), pairs(spark, *((i, i + 7) for i in range(30)))]
+    rows = [(i, i + 200, 1) for i in range(30)] + [(i, i + 201, 0) for i in range(30)]
+    seen, held = (spark.createDataFrame(rows[k::2], "x long, y long, good int") for k in (0, 1))
+    learnt = differentiable.train(rels, seen)
+    assert learnt.rules == [("chain", 0, 1)]
+    assert differentiable.evaluate(learnt, rels, held) == {"precision": 1.0, "recall": 1.0, "accuracy": 1.0}
+    assert differentiable.train(rels, seen.where("good = 0")).rules == []
+
+
+def test_local_search_finds_models():
+    from quern.sat import local_search
+
+    for seed in range(30):
+        rnd = random.Random(seed)
+        hidden = [rnd.choice([1, -1]) * v for v in range(1, 13)]
+        clauses = [tuple(x if rnd.random() < 0.6 else -x for x in rnd.sample(hidden, 3)) for _ in range(30)]
+        clauses = [c if set(c) & set(hidden) else (*c[:2], -c[2]) for c in clauses]
+        out = local_search(clauses)
+        assert out.status == "sat" and all(any(out.model[abs(x)] == (x > 0) for x in c) for c in clauses)
+    assert local_search([(1,), (-1,)]).status == "unknown"
