@@ -4,8 +4,8 @@ A page is read as one sequence of words and tags.  Words score positive, tags ne
 finds the contiguous region of greatest total score.  The weights come from labelled pages, those
 with exactly one ``<article>``: with a tag's frequency inside and outside of it,
 its weight is -1 - log(outside / inside) where it is rarer inside, -1 where it isn't (never above -0.1), and a
-word's weight follows its nearest container in the same way, from ``LEAST_WORD`` to 2.  At most ``max_pages`` labelled
-pages train, those of the smallest ids.
+word's weight follows its nearest container in the same way, from ``LEAST_WORD`` to 2.  The labelled ones of about ``max_pages`` pages train, those of
+the least hash of their id.
 
 Before the scan the elements that never are main text are left out with all they hold: head, script,
 style, forms, menus, asides, footers, page headers, and elements whose class, id or role names an advert, a notice, a
@@ -243,9 +243,13 @@ def extract(page: str | None, weights: dict = DEFAULT) -> str:
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", max_pages: int = MAX_PAGES) -> dict:
-    """Train on at most max_pages labelled pages, those of the smallest ids."""
-    labelled = pages.where(F.regexp_like(F.col(html), F.lit(r"(?i)<article[\s>]"))).orderBy(F.col(key).asc_nulls_last(), F.crc32(html)).limit(max_pages)
-    return train([r[0] for r in labelled.select(html).collect()])
+    """Train on the labelled ones of about max_pages pages, at most 2 * max_pages: those of the least hash of their id.
+
+    The hash's limit follows from the number of pages, so no task sends more than its share to the driver."""
+    n = pages.count()
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    chosen = pages.where(share <= max_pages / max(1, n)) if n > max_pages else pages
+    return train([r[0] for r in chosen.select(html).limit(2 * max_pages).collect()])
 
 
 def main_text(pages: DataFrame, weights: dict, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
