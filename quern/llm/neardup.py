@@ -36,7 +36,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Of the low bytes of HASHES minima, so many must agree before the full sets are compared.
 AGREE = int(0.66 * HASHES)
-BUCKETS = 1 << 20
+#: Of the bitmaps that are broadcast: 2 MB.
+BITS = 1 << 24
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -50,7 +51,7 @@ class Hasher(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -93,10 +94,17 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 def narrowed(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """df without most rows whose column isn't in the one of wanted, before anything is shuffled; it loses none that is.
 
-    What is broadcast are the hash buckets of wanted: at most BUCKETS numbers, however many rows there are."""
-    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS))
-    marks = wanted.select(bucket.alias("_bucket")).distinct()
-    return df.join(F.broadcast(marks), bucket == F.col("_bucket"), "left_semi")
+    What is broadcast is a bitmap of the hashes of wanted: BITS bits in rows of 4 KB, however many rows wanted has."""
+    def at(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(BITS))
+
+    rows = wanted.select(at(column).alias("_h")).select(F.expr("_h div 32768").alias("_row"), (F.col("_h") % 32768).alias("_bit"))
+    marks = rows.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    bit = F.col("_h") % 32768
+    byte = F.conv(F.hex(F.substr("_map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(_byte, CAST(_h % 8 AS INT)) & 1") == 1
+    out = df.withColumn("_h", at(column)).withColumn("_row", F.expr("_h div 32768")).join(F.broadcast(marks), "_row")
+    return out.withColumn("_byte", byte).where(hit).select(*df.columns)
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
