@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -14,7 +15,7 @@ from .functions.types import of_spark
 from .lang.ast import Modal, Program, Rule
 from .lang.parser import parse
 from .lang.passes import check_safety, constraint_name, desugar, expand_functions, link, magic, query_name
-from .lang.stratify import Key, key, order, strata
+from .lang.stratify import Key, key, order, strata, uses
 from .plans import fixpoint
 from .plans.relation import Relation, arity, empty, given
 from .plans.rules import compile_rule
@@ -30,6 +31,11 @@ class Options:
     masks: dict[str, bool] = field(default_factory=dict)  # learnable rules: on where true
 
 
+#: A derived relation that is read more than once is written once its plan has more scans than this, so
+#: that chains of rules can't grow plans without bound.
+SCANS = 40
+
+
 @dataclass
 class Component:
     predicates: list[Key]
@@ -57,6 +63,8 @@ class Compiled:
         self.types = infer(p, self.rules, given_types)
         check_rules(self.rules, self.types)
         self.order = order(self.rules)
+        self.reads = Counter(d for r in self.rules for d, _ in uses(r))
+        self.scans: dict[Key, int] = {}
 
     def strata(self) -> dict[Key, int]:
         return strata(Program(rules=self.rules))
@@ -158,9 +166,13 @@ class Engine:
             known.update(done)
             return Component(part, True, rounds)
         k = part[0]
+        scans = sum(compiled.scans.get(d, 1) for r in compiled.rules if key(r.head) == k for d, _ in uses(r))
         made = [compile_rule(r, self.spark, types, find, strict=self.options.strict) for r in compiled.rules if key(r.head) == k]
         parts = [known[k].df, *made] if k in known else made
-        known[k] = Relation(reduce(DataFrame.union, parts).distinct(), types[k])
+        df = reduce(DataFrame.union, parts).distinct()
+        if scans > SCANS and compiled.reads[k] > 1:
+            df, scans = fixpoint.checkpoint(df), 1
+        known[k], compiled.scans[k] = Relation(df, types[k]), scans
         return Component(part, False)
 
     def check(self, compiled: Compiled, known: dict[Key, Relation]) -> None:

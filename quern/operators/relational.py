@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that a side may have to be broadcast on request.
+BROADCAST_ROWS = 10_000
+
+
 def unit(spark: SparkSession) -> DataFrame:
     """One row without content: the identity of joins."""
     return spark.range(1).select(F.lit(1).alias("u"))
@@ -28,10 +32,12 @@ def project(df: DataFrame, **columns: Column) -> DataFrame:
 def join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", strategy: str | None = None) -> DataFrame:
     """Equi-join on columns of equal names: inner, left, left_semi or left_anti; without columns the cross product.
 
-    strategy: None leaves the choice to Catalyst and AQE; "merge", "shuffle_hash" ask for one.  A side is never broadcast by
-    force here, as its size isn't known."""
+    strategy: None leaves the choice to Catalyst and AQE; "merge" and "shuffle_hash" ask for one; "broadcast" is followed only if
+    right is counted to have at most BROADCAST_ROWS rows, and left to Catalyst beyond."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unknown join {how}")
+    if strategy == "broadcast":
+        strategy = strategy if len(right.limit(BROADCAST_ROWS + 1).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else None
     if strategy:
         right = right.hint(strategy)
     if on:

@@ -208,3 +208,8 @@ def test_random_programs_equal_a_naive_evaluator(spark):
         result = Engine(spark).run(text + " ?- p(X, Y). ?- q(X, Y). ?- r(X, Y).")
         for name, q in zip("pqr", result.queries, strict=True):
             assert set(map(tuple, q.collect())) == want.get(name, set()), (seed, name)
+
+
+def test_long_chains_of_rules_keep_small_plans(spark):
+    text = "p0(1, 2). p0(2, 3). p0(3, 1). " + " ".join(f"p{i + 1}(A, C) :- p{i}(A, B), p{i}(B, C)." for i in range(14)) + " ?- p14(A, B)."
+    assert len(rows(spark, text)) == 3

@@ -99,6 +99,10 @@ def test_operators(spark):
     assert relational.join(a, b.limit(0).toDF("x", "y"), [], "left_anti").count() == 7
     assert relational.group(a.limit(0), [], {"n": ("count", "a")}).collect() == []
     assert relational.join(a, b.toDF("a", "c"), ["a"], "left").where("c is null").count() == 4
+    for strategy in ("merge", "shuffle_hash", "broadcast"):
+        assert relational.join(a, b.toDF("a", "c"), ["a"], strategy=strategy).count() == 3
+    with pytest.raises(ValueError):
+        relational.join(a, b, ["a"], "full")
 
 
 def test_random_cliques_equal_enumeration(spark):
@@ -274,7 +278,7 @@ def test_gradients_find_the_rule(spark):
     seen, held = (spark.createDataFrame(rows[k::2], "x long, y long, good int") for k in (0, 1))
     learnt = differentiable.train(rels, seen)
     assert learnt.rules == [("chain", 0, 1)]
-    assert differentiable.evaluate(learnt, rels, held) == {"precision": 1.0, "recall": 1.0, "accuracy": 1.0}
+    assert set(differentiable.evaluate(learnt, rels, held).values()) == {1.0}
     assert differentiable.train(rels, seen.where("good = 0")).rules == []
 
 
