@@ -180,7 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learn from at most max_train labelled rows, whose ids aren't held out."""
     given = labels.select(F.col(key).cast("bigint").alias("_id"), F.col(label).cast("double").alias("_y")).where("_id is not null and _y is not null")
     order = F.xxhash64("_id")
-    chosen = given.where(~held_out(F.col("_id"))).orderBy(order, "_id", "_y").limit(max_train)
+    given = given.where(~held_out(F.col("_id")))
+    n = given.count()
+    if n > max_train:  # a hash limit first, so that no task sends many more rows than are needed
+        given = given.where(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) <= 1.2 * max_train / n)
+    chosen = given.orderBy(order, "_id", "_y").limit(max_train)
     # at most max_train rows of two numbers: broadcast
     joined = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id")
     names = list(statistics(F.lit("")))
