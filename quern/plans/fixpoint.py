@@ -7,22 +7,26 @@ nothing; what is known is a union of blocks, compacted now and then.
 
 The closure of one relation (p = e, p = p joined with e) doubles instead: new tuples join all that is known, so a path of n
 steps takes log2(n) rounds.  As a path is then derived once for each way to cut it, rounds whose
-new tuples are more than ``DOUBLING_ROWS`` go on one step at a time, which is right from any round on."""
+new tuples are more than ``DOUBLING_ROWS`` go on one step at a time, which is right from any round on.
+
+A round costs several small jobs under AQE.  While all that it reads is known to be small it is planned without, as one job."""
 
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import RecursionLimit
 from ..lang.ast import ANON, Atom, Rule, Var
-from ..lang.stratify import Key, key
+from ..lang.passes import BUILTINS
+from ..lang.stratify import Key, key, uses
 from .relation import Relation, empty
 from .rules import Lookup, compile_rule
 
-MAX_ROUNDS, COMPACT, DOUBLING_ROWS = 1_000_000, 6, 20_000_000
+MAX_ROUNDS, COMPACT, DOUBLING_ROWS, SMALL_ROWS, SMALL_BYTES = 1_000_000, 6, 20_000_000, 1_000_000, 1 << 27
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -50,18 +54,41 @@ def closure_of(k: Key, rules: list[Rule]) -> int | None:
     return at if joined and e.args == base.head.args and {key(x), key(y)} == {k, key(e)} and key(e) != k else None
 
 
+@contextmanager
+def settings(spark: SparkSession, large: bool):
+    """Plan a round over few rows as one job with few partitions; if it may be large, all is left to AQE."""
+    if large:
+        yield
+        return
+    few = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))}
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate, which errs upwards where joins are below."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 class Blocks:
-    """What is known of a predicate: disjoint checkpointed blocks."""
+    """What is known of a predicate: disjoint checkpointed blocks, and how many rows they have."""
 
-    def __init__(self, blocks: list[DataFrame], types: tuple[str, ...]):
-        self.blocks, self.types = blocks, types
+    def __init__(self, blocks: list[DataFrame], types: tuple[str, ...], rows: int):
+        self.blocks, self.types, self.rows = blocks, types, rows
 
     @property
     def relation(self) -> Relation:
         return Relation(reduce(DataFrame.union, self.blocks), self.types)
 
-    def add(self, df: DataFrame) -> None:
+    def add(self, df: DataFrame, rows: int) -> None:
         self.blocks.append(df)
+        self.rows += rows
         if len(self.blocks) > COMPACT:
             self.blocks = [checkpoint(reduce(DataFrame.union, self.blocks).coalesce(max(1, df.rdd.getNumPartitions())))]
 
@@ -93,33 +120,39 @@ def solve(
         for k in part:
             made = [variant(r, None, {}, state) for r in own[k]]
             first[k] = checkpoint(reduce(DataFrame.union, [state[k].df, *made]).distinct())
-        full = {k: Blocks([first[k]], types[k]) for k in part}
+        counts = {k: first[k].count() for k in part}
+        full = {k: Blocks([first[k]], types[k], counts[k]) for k in part}
         delta = {k: Relation(first[k], types[k]) for k in part}
     else:
-        full = {k: Blocks([state[k].df, seeds[k]] if k in seeds else [state[k].df], types[k]) for k in part}
         delta = {k: Relation(seeds.get(k, empty(spark, types[k]).df), types[k]) for k in part}
+        counts = {k: delta[k].df.count() for k in part}
+        full = {k: Blocks([state[k].df, delta[k].df], types[k], state[k].df.count() + counts[k]) for k in part}
     rounds, doubled = 0, None
     if len(part) == 1 and seeds is None and part[0] not in base:
         doubled = closure_of(part[0], own[part[0]])
-    live = {k for k in part if not delta[k].df.isEmpty()}
+    beside = [known(d, 0).df for d in {d for r in rules if key(r.head) in inside for d, _ in uses(r)} - inside if d not in BUILTINS]
+    wide = sum(map(estimated_bytes, beside)) > SMALL_BYTES
+    live = {k for k in part if counts[k]}
     while live:
         rounds += 1
         if rounds > limit:
             raise RecursionLimit(f"{part[0][0]} took more than {limit} rounds")
         now = {k: full[k].relation for k in part}
         fresh: dict[Key, DataFrame] = {}
-        if doubled is not None and delta[part[0]].df.count() > DOUBLING_ROWS:
+        if doubled is not None and counts[part[0]] > DOUBLING_ROWS:
             doubled = None
-        for k in part:
-            if doubled is not None:
-                made = [_squared(delta[k].df, now[k].df)]
-            else:
-                made = [variant(r, at, delta, now) for r in own[k] for at, x in enumerate(r.body) if isinstance(x, Atom) and key(x) in live]
-            if made:
-                new = reduce(DataFrame.union, made).distinct()
-                fresh[k] = checkpoint(new.join(now[k].df, new.columns, "left_anti"))
-        delta = {k: Relation(fresh[k], types[k]) if k in fresh else empty(spark, types[k]) for k in part}
-        live = {k for k in fresh if not fresh[k].isEmpty()}
-        for k in live:
-            full[k].add(fresh[k])
+        with settings(spark, wide or sum(f.rows for f in full.values()) > SMALL_ROWS):
+            for k in part:
+                if doubled is not None:
+                    made = [_squared(delta[k].df, now[k].df)]
+                else:
+                    made = [variant(r, at, delta, now) for r in own[k] for at, x in enumerate(r.body) if isinstance(x, Atom) and key(x) in live]
+                if made:
+                    new = reduce(DataFrame.union, made).distinct()
+                    fresh[k] = checkpoint(new.join(now[k].df, new.columns, "left_anti"))
+            counts = {k: fresh[k].count() for k in fresh}
+            delta = {k: Relation(fresh[k], types[k]) if k in fresh else empty(spark, types[k]) for k in part}
+            live = {k for k in fresh if counts[k]}
+            for k in live:
+                full[k].add(fresh[k], counts[k])
     return {k: full[k].relation for k in part}, rounds
