@@ -3,7 +3,8 @@
 Relations that depend on a choice get a world column, and rules join on it; so one program run evaluates
 all worlds together, distributed by world.  A choice's draw in a world is a hash of world, choice and seed: a task that
 runs again draws the same.  Evidence on a fact that is one outcome of one choice, and derived by
-no rule, is clamped; other evidence rejects worlds."""
+no rule, is clamped; other evidence rejects worlds.  Cycles through negation get the well-founded
+meaning in each world."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..errors import ProbabilityError
+from ..errors import ProbabilityError, StratificationError
 from ..functions.types import of_term, spark_type
 from ..lang.ast import Atom, Not, Program, Rule, Var
 from ..lang.parser import parse
@@ -132,6 +133,7 @@ def monte_carlo(spark: SparkSession, program: str | Program, samples: int | None
         if key(r.head) in uncertain:
             if not any(isinstance(x, Atom) and key(x) in uncertain for x in r.body):
                 body = (Atom("world__", (_WORLD,)), *body)
+            body = tuple(sorted(body, key=lambda x: isinstance(x, Not)))  # the world is bound before negations
             rules.append(Rule(worldly(r.head), body))
         else:
             rules.append(Rule(r.head, body))
@@ -143,7 +145,12 @@ def monte_carlo(spark: SparkSession, program: str | Program, samples: int | None
     q.facts = {k: v for k, v in p.facts.items() if k not in uncertain}
     q.declarations = {n: [type(d)(d.name, ("u64", *d.types), (None, *d.columns), d.private) if (n, len(d.types)) in uncertain else d for d in ds] for n, ds in p.declarations.items()}
     inputs = {"world__": worlds} | _draws(spark, worlds, p, forced, seed, uncertain)
-    result = Engine(spark).run(q, inputs)
+    try:
+        result = Engine(spark).run(q, inputs)
+    except StratificationError:  # what is true in every world's well-founded model
+        from ..epistemic import well_founded
+
+        result = well_founded(Engine(spark), q, inputs, int(p.pragmas.get("prob_max_nonmonotone_iterations", 1024)))
     kept = worlds
     for i, (_, truth) in enumerate(evidence):
         kept = kept.join(result.relation(f"__ask_{i}").toDF("world"), "world", "left_semi" if truth else "left_anti")

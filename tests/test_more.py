@@ -164,6 +164,14 @@ def test_monte_carlo(spark):
     assert clamped.samples == 2000 and clamped.low <= 0.5 <= clamped.high
 
 
+def test_cycles_through_negation(spark):
+    text = "0.5::open(). 0.25::shut(). go() :- not stay(), open(). stay() :- not go(), open(). stay() :- shut(). move(X) :- way(X, Y), not move(Y). way(1, 2). way(2, 3). query(stay()). query(go()). query(move(2)). query(move(1))."
+    want = [0.25, 0.0, 1.0, 0.0]
+    assert [a.probability for a in prob.exact(text)] == want
+    got = prob.monte_carlo(spark, text, samples=1500, confidence=0.9999)
+    assert all(e.low - 1e-9 <= w <= e.high + 1e-9 for e, w in zip(got, want, strict=True))
+
+
 def modal(spark, text, **kw):
     return [sorted(map(tuple, q.collect())) for q in epistemic.run(spark, text, **kw).queries]
 
