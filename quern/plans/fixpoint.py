@@ -3,7 +3,7 @@
 Each round evaluates, for every rule and every recursive literal of it, the variant that reads the last
 round's new tuples there and everything known elsewhere; what is new is kept, until nothing is.  New tuples
 are cut from their lineage by reliable checkpoints, so plans stay small and a lost executor costs
-nothing; what is known is a union of blocks, compacted now and then.
+nothing; what is known is a union of blocks, merged as they grow.
 
 The closure of one relation (p = e, p = p joined with e) doubles instead: new tuples join all that is known, so a path of n
 steps takes log2(n) rounds.  As a path is then derived once for each way to cut it, rounds whose
@@ -77,20 +77,32 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 class Blocks:
-    """What is known of a predicate: disjoint checkpointed blocks, and how many rows they have."""
+    """What is known of a predicate: disjoint checkpointed blocks, and how many rows they have.
 
-    def __init__(self, blocks: list[DataFrame], types: tuple[str, ...], rows: int):
-        self.blocks, self.types, self.rows = blocks, types, rows
+    When there are more than COMPACT, the newest are merged, back to one that is much larger than they are
+    together; so a row is written again a logarithmic number of times only."""
+
+    def __init__(self, blocks: list[tuple[DataFrame, int]], types: tuple[str, ...]):
+        self.blocks, self.types = blocks, types
+
+    @property
+    def rows(self) -> int:
+        return sum(n for _, n in self.blocks)
 
     @property
     def relation(self) -> Relation:
-        return Relation(reduce(DataFrame.union, self.blocks), self.types)
+        return Relation(reduce(DataFrame.union, (df for df, _ in self.blocks)), self.types)
 
     def add(self, df: DataFrame, rows: int) -> None:
-        self.blocks.append(df)
-        self.rows += rows
+        self.blocks.append((df, rows))
         if len(self.blocks) > COMPACT:
-            self.blocks = [checkpoint(reduce(DataFrame.union, self.blocks).coalesce(max(1, df.rdd.getNumPartitions())))]
+            at = len(self.blocks) - 2
+            while at and self.blocks[at - 1][1] <= 2 * sum(n for _, n in self.blocks[at:]):
+                at -= 1
+            parts = self.blocks[at:]
+            widest = max(b.rdd.getNumPartitions() for b, _ in parts)
+            merged = checkpoint(reduce(DataFrame.union, (b for b, _ in parts)).coalesce(widest))
+            self.blocks = [*self.blocks[:at], (merged, sum(n for _, n in parts))]
 
 
 def _squared(new: DataFrame, full: DataFrame) -> DataFrame:
@@ -121,12 +133,12 @@ def solve(
             made = [variant(r, None, {}, state) for r in own[k]]
             first[k] = checkpoint(reduce(DataFrame.union, [state[k].df, *made]).distinct())
         counts = {k: first[k].count() for k in part}
-        full = {k: Blocks([first[k]], types[k], counts[k]) for k in part}
+        full = {k: Blocks([(first[k], counts[k])], types[k]) for k in part}
         delta = {k: Relation(first[k], types[k]) for k in part}
     else:
         delta = {k: Relation(seeds.get(k, empty(spark, types[k]).df), types[k]) for k in part}
         counts = {k: delta[k].df.count() for k in part}
-        full = {k: Blocks([state[k].df, delta[k].df], types[k], state[k].df.count() + counts[k]) for k in part}
+        full = {k: Blocks([(state[k].df, state[k].df.count()), (delta[k].df, counts[k])], types[k]) for k in part}
     rounds, doubled = 0, None
     if len(part) == 1 and seeds is None and part[0] not in base:
         doubled = closure_of(part[0], own[part[0]])
