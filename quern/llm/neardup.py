@@ -99,12 +99,14 @@ def narrowed(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
         return F.pmod(F.xxhash64(c), F.lit(BITS))
 
     rows = wanted.select(at(column).alias("_h")).select(F.expr("_h div 32768").alias("_row"), (F.col("_h") % 32768).alias("_bit"))
-    marks = rows.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    # numbers are shuffled, not a bitmap of every task
+    marks = rows.repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_map"))
     bit = F.col("_h") % 32768
     byte = F.conv(F.hex(F.substr("_map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.expr("shiftright(_byte, CAST(_h % 8 AS INT)) & 1") == 1
-    out = df.withColumn("_h", at(column)).withColumn("_row", F.expr("_h div 32768")).join(F.broadcast(marks), "_row")
-    return out.withColumn("_byte", byte).where(hit).select(*df.columns)
+    row = F.struct(*df.columns).alias("_all")
+    out = df.select(row, at(column).alias("_h")).withColumn("_row", F.expr("_h div 32768")).join(F.broadcast(marks), "_row")
+    return out.withColumn("_byte", byte).where(hit).select("_all.*")
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
