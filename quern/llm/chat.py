@@ -95,6 +95,7 @@ def render(nodes: DataFrame, top: int | None = None) -> DataFrame:
     """(tree, leaf, rank, path_score, n_turns, formatted, loss_spans) of the chosen branches.
 
     loss_spans holds (start, end) in code points of formatted, one for each assistant message."""
+    nodes = checkpoint(nodes.select("tree", "node", "parent", "role", "text", "score"))  # read three times below
     paths = branches(nodes)
     chosen = best(paths, nodes, top).select(F.col("tree").alias("ct"), F.col("leaf").alias("cl"), "rank", "path_score")
     kept = paths.join(chosen, paths["tree"].eqNullSafe(chosen["ct"]) & (paths["leaf"] == chosen["cl"])).drop("ct", "cl")
