@@ -47,7 +47,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]
     """
     bounded_batches(df.sparkSession)
     # workers find this package where the driver did, unless it is installed there
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    top = Path(__file__).resolve().parents[2]
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None

@@ -46,6 +46,8 @@ _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|breadcrumbs?|byline-share|captcha|comments?|commentlist|consent|cookies?|disclaimer|disqus|discussion|footer|footnav|gdpr|header|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notification|outbrain|overlay|pagination|pager|popup|promos?|promoted|promotion|recommended|related|replies|reply|respond|search|share|sharing|sidebar|side|signup|skip|social|sponsors?|sponsored|subscribe|subscription|taboola|tags|teaser|toolbar|topbar|widgets?|user-comments|reader-comments)(?:$|[\s_-])",
     re.I,
 )
+#: Names that tell of a page's state, not of what an element is: has-sidebar.
+_STATE = re.compile(r"(?:has|with|without|no|show|hide|is)[-_]", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar"}
 
 Token = tuple[int, str, str]  # kind (0 text, 1 start, 2 end), name or text, room
@@ -63,7 +65,7 @@ def _noisy(name: str, attributes: str, inside: bool) -> bool:
         if m[1].lower() == "role":
             if value.lower() in _ROLES:
                 return True
-        elif _NOISE.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
+        elif any(_NOISE.search(n) and not _STATE.match(n) for n in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).split()):
             return True
     return False
 

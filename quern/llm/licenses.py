@@ -30,15 +30,17 @@ from .common import map_rows
 TEMPLATES = {
     "Apache": [
         "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        "you may not use this file except in compliance with the License",
+        "You may obtain a copy of the License at apache.org/licenses",
+        'distributed under the License is distributed on an "AS IS" BASIS',
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy",
+        "and associated documentation files, to deal in the Software without restriction",
+        "this permission notice shall be included in all copies or substantial portions",
         "SPDX-License-Identifier: MIT",
     ],
     "GPL": [

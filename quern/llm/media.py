@@ -32,6 +32,8 @@ WIDTH, HEIGHT, FPS = 16, 12, 25
 FRAME = WIDTH * HEIGHT
 CATEGORIES = 9
 UNIT = 9  # bits a sample
+Shot = tuple[int, int]
+Code = tuple[int, int]
 
 
 def _codes(counts: list[int], symbols: list[int]) -> dict[int, tuple[int, int]]:
@@ -140,7 +142,7 @@ def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
     return fps, frames
 
 
-def _segments(jpeg: bytes) -> tuple[int, int, dict[int, tuple[int, int]], int, int]:
+def _segments(jpeg: bytes) -> tuple[int, int, dict[int, Code], int, int]:
     """Height, width, codes, predictor and the scan's start."""
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("this is no JPEG frame")
@@ -224,7 +226,7 @@ def differences(frames: np.ndarray, bins: int = 16) -> np.ndarray:
     return out
 
 
-def shots(diff: np.ndarray, window: int = 12, k: float = 2.5, floor: float = 0.15) -> list[tuple[int, int]]:
+def shots(diff: np.ndarray, window: int = 12, k: float = 2.5, floor: float = 0.15) -> list[Shot]:
     """(first frame, end) of each shot; the threshold follows the differences around each frame."""
     n = len(diff)
     if not n:

@@ -31,7 +31,8 @@ from .common import map_rows
 SEED, COVERAGE, MAX_SEEDS = 5, 0.6, 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_ONE = np.uint64(1)
+Tile = tuple[int, int, int]
+Place = tuple[int, int]
 
 
 def words(text: str | None) -> list[str]:
@@ -64,10 +65,10 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def tile(doc: list, item: list, least: int) -> list[tuple[int, int, int]]:
+def tile(doc: list, item: list, least: int) -> list[Tile]:
     """Greedy tiles (at in doc, at in item, length) of two sequences of hashes, longest first."""
     unmarked_d, unmarked_i = [True] * len(doc), [True] * len(item)
-    tiles: list[tuple[int, int, int]] = []
+    tiles: list[Tile] = []
     length = min(len(doc), len(item))
     base, mask = int(_BASE), (1 << 64) - 1
 
@@ -137,7 +138,7 @@ class Index:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[[x & ((1 << 22) - 1) for x in where]] = True
 
-    def near(self, h: np.ndarray, n: int) -> list[tuple[int, int]]:
+    def near(self, h: np.ndarray, n: int) -> list[Place]:
         """(position, seed) in a document of runs of n words that an item has too."""
         r = runs(h, n)
         at = np.flatnonzero(self.bits[(r & np.uint64((1 << 22) - 1)).astype(np.int64)])

@@ -150,6 +150,7 @@ PAGES = [
     ("<header><h1>Site name</h1></header><div id='sidebar'>one two three four five six seven eight</div><div class='content'><h1>T</h1><p>a b c d e f g h i j k</p><p>l m n o</p></div><div class='comments'><p>great great great post</p></div>", "T\n\na b c d e f g h i j k\n\nl m n o"),
     ('<article><script>var t = "</p></article>"; x(0)</script><style>p{}</style><p>one<!-- no --> two</article>', "one two"),
     ("<div class=\"ad\">buy buy buy<article><p>text</p></article>", "text"),
+    ("<div class='page has-sidebar'><div class='sidebar'>links links links links</div><div class='post'><p>one two three four five</p></div></div>", "one two three four five"),
     ("<article><p>a < b and c > d</p>", "a < b and c > d"),
 ]
 
