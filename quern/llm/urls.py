@@ -20,8 +20,6 @@ Repeated rows give repeated rows; equal urls equal verdicts; other columns are l
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,13 +63,12 @@ def _grams(df: DataFrame) -> DataFrame:
     return df.withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.substr(padded, i, F.lit(ORDER + 1)))))
 
 
-def _ratios(train: DataFrame) -> DataFrame:
-    """(gram, ratio): log ratio of every gram that occurs at all, from one count of the longest grams."""
-    full = checkpoint(_grams(train.where("length(s) > 0")).groupBy("gram").agg(F.sum(F.col("good").cast("bigint")).alias("g"), F.sum((~F.col("good")).cast("bigint")).alias("b")))
-    return full
+def _counts(train: DataFrame) -> DataFrame:
+    """(gram, g, b): how often every longest gram occurs in accepted and in rejected urls."""
+    return checkpoint(_grams(train.where("length(s) > 0")).groupBy("gram").agg(F.sum(F.col("good").cast("bigint")).alias("g"), F.sum((~F.col("good")).cast("bigint")).alias("b")))
 
 
-def _suffix_counts(full: DataFrame, n: int) -> DataFrame:
+def _suffix_counts(full: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Counts of the last n + 1 characters of the grams, and of the n before the last one."""
     part = full.groupBy(F.substr("gram", F.lit(ORDER + 1 - n), F.lit(n + 1)).alias("x")).agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
     context = part.groupBy(F.substr("x", F.lit(1), F.lit(n)).alias("h")).agg(F.sum("g").alias("hg"), F.sum("b").alias("hb"))
@@ -80,7 +77,7 @@ def _suffix_counts(full: DataFrame, n: int) -> DataFrame:
 
 def scored(urls: DataFrame, train: DataFrame) -> DataFrame:
     """(s, score) of the distinct strings ``s`` of urls; train has s and good.  score is in millionths of a nat a character."""
-    full = _ratios(train)
+    full = _counts(train)
     grams = checkpoint(_grams(urls.where("length(s) > 0")).select("s", "gram"))
     table = grams.select("gram").distinct()
     pg, pb = F.lit(1.0 / ALPHABET), F.lit(1.0 / ALPHABET)
