@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import held, map_rows
 
-CHUNK_BYTES, CACHE_WORDS, DECODE_TOKENS, SLICE = 500_000, 500_000, 500_000, 1000
+CHUNK_BYTES, CACHE_WORDS, DECODE_TOKENS, SLICE = 400_000, 400_000, 400_000, 600
 #: Words of up to so many bytes are contracted one pair a step, which needs fewer operations a step.
 SHORT = 48
 _SHIFT = 17  # bits of a token id within a pair
@@ -89,7 +89,7 @@ class Codec:
 
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "160MB"})
         left, right, token, unsafe = [], [], [], set()
         for piece, rank in self.ranks.items():
             for i in range(1, len(piece)):
@@ -192,14 +192,9 @@ class Codec:
         return bool(ids.min() >= 0 and ids.max() < len(self.known) and self.known[ids].all())
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec: made once a process, for all tasks that run in it."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    """The worker's codec: made once a process, for all tasks of this operator that run in it."""
+    return held("bpe", (path, pattern), lambda: Codec(path, pattern))
 
 
 def _mapped(df: DataFrame, key: str, value: str, path: str, pattern: str, work: Callable, out: list[tuple[str, str, pa.DataType]]) -> DataFrame:
@@ -209,7 +204,7 @@ def _mapped(df: DataFrame, key: str, value: str, path: str, pattern: str, work:
 
     arrow = pa.schema([("key", pa.int64()), *((n, t) for n, _, t in out)])
     schema = "key bigint, " + ", ".join(f"{n} {s}" for n, s, _ in out)
-    return map_rows(df.select(F.col(key).cast("bigint").alias("key"), F.col(value).alias("value")), make, schema, arrow, slice_rows=SLICE).withColumnRenamed("key", key)
+    return map_rows(df.select(F.col(key).cast("bigint").alias("key"), F.col(value).alias("value")), make, schema, arrow, slice_rows=SLICE, owner="bpe").withColumnRenamed("key", key)
 
 
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

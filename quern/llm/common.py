@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -39,11 +42,38 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: str, arrow: pa.Schema, slice_rows: int = SLICE_ROWS) -> DataFrame:
+#: What Python workers keep between tasks, by operator.
+_HELD: dict[tuple, object] = {}
+
+
+def held(owner: str, key: tuple, build: Callable[[], object]) -> object:
+    """An object that a worker keeps between tasks of one operator, until another's run in it."""
+    if (owner, key) not in _HELD:
+        _HELD[owner, key] = build()
+    return _HELD[owner, key]
+
+
+def drop_others(owner: str) -> None:
+    for k in [k for k in _HELD if k[0] != owner]:
+        del _HELD[k]
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system, for whatever runs in the worker next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # a C library without it
+            pass
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: str, arrow: pa.Schema, slice_rows: int = SLICE_ROWS, owner: str = "") -> DataFrame:
     """Apply a function of columns (lists, one slice of rows at a time) on the executors.
 
     ``make`` is called once per task and returns the function, so that models and
-    tables are loaded once.  The output streams: one slice is in Python at a time.
+    tables are loaded once.  The output streams: one slice is in Python at a time.  ``owner`` names whose held objects stay.
     """
     bounded_batches(df.sparkSession)
     # workers find this package where the driver did, unless it is installed there
@@ -52,6 +82,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
+        drop_others(owner)
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 if work is None:
@@ -59,6 +90,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]
                 part = batch.slice(at, slice_rows)
                 columns = work([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        work = None
+        release()
 
     return df.mapInArrow(run, schema)
 
