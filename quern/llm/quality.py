@@ -138,7 +138,7 @@ def _rules(x: np.ndarray, y: np.ndarray) -> list[Rule]:
 def _lasso(a: np.ndarray, y: np.ndarray, strength: float, start: np.ndarray, steps: int = 300) -> np.ndarray:
     """Accelerated proximal gradient; the last weight is the intercept, without penalty."""
     n = len(a)
-    lipschitz = 0.25 * np.linalg.norm(a, 2) ** 2 / n + 1e-9
+    lipschitz = 0.25 * np.linalg.eigvalsh(a.T @ a)[-1] / n + 1e-9
     w, v, t = start.copy(), start.copy(), 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(a @ v)))
@@ -161,9 +161,9 @@ def train(names: list[str], x: np.ndarray, y: np.ndarray) -> Ensemble:
     a = np.column_stack([*(r.holds(x) for r in rules), np.ones(len(x))]).astype(np.float64)
     w, best = np.zeros(a.shape[1]), (np.inf, None)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
+    seen, on = a[~fold], fold if fold.any() else ~fold
     for strength in (1e-2, 3e-3, 1e-3, 3e-4):
-        w = _lasso(a[~fold], y[~fold], strength, w)
-        on = fold if fold.any() else ~fold
+        w = _lasso(seen, y[~fold], strength, w)
         p = np.clip(1 / (1 + np.exp(-(a[on] @ w))), 1e-9, 1 - 1e-9)
         loss = float(-(y[on] * np.log(p) + (1 - y[on]) * np.log(1 - p)).mean())
         if loss < best[0] - 1e-4:
