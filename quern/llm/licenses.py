@@ -1,8 +1,10 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line.  Its features are words and pairs of words (lower-cased letters and digits), weighted by
-1 / sqrt(number of features); a sparse multinomial logistic regression gives one of ``FAMILIES`` or
-"unknown".  It is trained here, on variants of the templates (words dropped, words of other texts around them) and on
+A paragraph is a block of lines between lines without a word; line feeds in it are read as spaces.  Every line of it
+is judged, and so are runs of its lines (``Model.notices``), so a notice is found whether it is a line, is wrapped over
+some, or stands in a longer block.  Runs have no greatest length.  The features are words and pairs of words
+(lower-cased letters and digits), weighted by 1 / sqrt(number of features); a sparse multinomial logistic regression
+gives one of ``FAMILIES`` or "unknown".  It is trained here, on variants of the templates (words dropped, words of other texts around them) and on
 paragraphs without a licence as the unknown class; only n-grams of the templates are features.
 Every fifth variant is held out: its scores set the temperature (least log loss), and the least probability that is
 believed is the smallest at which at most one in a hundred unknown paragraphs passes.  Below it a paragraph is
@@ -11,14 +13,17 @@ paragraph.  Long paragraphs are read whole; a paragraph without any feature is u
 its score alone, so it is passed over.
 
 Defined results: null or empty texts give no rows; repeated rows give repeated rows; equal
-probabilities go to the family listed first.
+probabilities go to the family listed first.  A notice's number is that of its first line.  Of notices of one family that
+overlap, and of one within another, that which holds more of a template's word pairs stays, then that of fewer lines.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter, defaultdict
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +105,8 @@ UNKNOWN = [
     "International trade and commercial attribution are different fields.",
 ]
 CONFIRM, SEED = 0.5, 7
+#: Words between the pairs of one notice, at most, where a run is widened.
+APART = 8
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -139,6 +146,7 @@ class Model:
     def __init__(self):
         self.names = {f: i for i, f in enumerate(sorted({f for t in TEMPLATES.values() for x in t for f in features(x)}))}
         self.words = {f for f in self.names if " " not in f}
+        self.pairs = {tuple(f.split()) for f in self.names if " " in f}
         self.templates = [(c, _pairs(t)) for c, f in enumerate(FAMILIES[:-1]) for t in TEMPLATES[f]]
         rows = _variants(random.Random(SEED))
         x = np.stack([self.vector(p) for p, _ in rows])
@@ -189,6 +197,71 @@ class Model:
         alike = max(len(t & pairs) / len(t) for k, t in self.templates if k == c)
         return (FAMILIES[c], float(p[c]), alike) if alike >= CONFIRM else ("unknown", float(p[-1]), alike)
 
+    def notices(self, lines: list[str], alone: list[tuple[str, float, float]]) -> list[tuple[int, int, str, float, float]]:
+        """(first line, last line, family, probability, similarity) of the notices of a block, by first line.
+
+        ``alone`` are the lines' own results.  For every template the shortest runs of lines with ``CONFIRM`` of its pairs
+        are sought in one pass, widened to the lines that go on with it, and classified; the whole block too if none is found."""
+        found = {(n, n, *got) for n, got in enumerate(alone) if got[0] != "unknown"}
+        ws = _WORD.findall(" ".join(lines).lower()) if len(lines) > 1 else []
+        have = self.pairs.intersection(zip(ws, ws[1:], strict=False))
+        near = [(c, t) for c, t in self.templates if len(t) <= len(have) / CONFIRM and sum(tuple(x.split()) in have for x in t) >= CONFIRM * len(t)]
+        if near:
+            of = [n for n, line in enumerate(lines) for _ in _WORD.findall(line.lower())]  # the line of each word
+            at = [(k, " ".join(x)) for k, x in enumerate(zip(ws, ws[1:], strict=False)) if x in have]
+            tried = {(c, tuple((of[a], of[b]) for a, b in run)) for c, t in near for run in _runs([x for x in at if x[1] in t], CONFIRM * len(t))}
+            for c, run in tried:
+                for first, last in run:  # the widened run, else the shortest
+                    if first < last and (got := self.classify(" ".join(lines[first : last + 1])))[0] == FAMILIES[c]:
+                        found.add((first, last, *got))
+                        break
+            if not found and (got := self.classify(" ".join(lines)))[0] != "unknown":
+                found.add((0, len(lines) - 1, *got))
+        if len(found) < 2:
+            return list(found)
+
+        def rank(n):
+            xs = _pairs(" ".join(lines[n[0] : n[1] + 1]))
+            return -max(len(t & xs) for c, t in self.templates if FAMILIES[c] == n[2]), n[1] - n[0], n
+
+        out, over = [], defaultdict(dict)  # over: line -> family -> last line of the notice that covers it
+        for n in sorted(found, key=rank):
+            first, last, family, *_ = n
+            if any(b >= last for b in over[first].values()) or any(family in over[k] for k in range(first, last + 1)):
+                continue
+            out.append(n)
+            for k in range(first, last + 1):
+                over[k][family] = last
+        return sorted(out)
+
+
+def _runs(hits: list[tuple[int, str]], least: float) -> set[tuple[tuple[int, int], tuple[int, int]]]:
+    """(widened, shortest) runs of words, as first and last, with so many different pairs; hits are (place, pair), by place.
+
+    A run is widened to pairs that it hasn't yet, as long as each is at most ``APART`` words from the one before."""
+    out, counts, first = set(), Counter(), 0
+    for last, (end, x) in enumerate(hits):
+        counts[x] += 1
+        while len(counts) >= least and (counts[hits[first][1]] > 1 or len(counts) - 1 >= least):
+            counts[hits[first][1]] -= 1
+            if not counts[hits[first][1]]:
+                del counts[hits[first][1]]
+            first += 1
+        if len(counts) < least:
+            continue
+        begin, have, wide = hits[first][0], set(counts), []
+        for way, side in ((-1, range(first - 1, -1, -1)), (1, range(last + 1, len(hits)))):
+            edge = begin if way < 0 else end
+            for h in side:
+                if abs(hits[h][0] - edge) > APART:
+                    break
+                if hits[h][1] not in have:
+                    have.add(hits[h][1])
+                    edge = hits[h][0]
+            wide.append(edge)
+        out.add(((wide[0], wide[1] + 1), (begin, end + 1)))
+    return out
+
 
 @cache
 def fit() -> Model:
@@ -196,7 +269,7 @@ def fit() -> Model:
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each paragraph with a licence: key, paragraph (from 0), begin, finish (code points), family, probability, similarity."""
+    """One row for each notice: key, paragraph (its first line, from 0), begin, finish (code points), family, probability, similarity."""
     arrow = pa.schema([("key", pa.int64()), ("paragraph", pa.int64()), ("begin", pa.int64()), ("finish", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())])
 
     def make():
@@ -204,16 +277,21 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         def work(cols):
             rows = []
             for key, said in zip(*cols, strict=True):
-                at = 0
-                for n, line in enumerate((said or "").split("\n")):
-                    got = seen.get(line)
-                    if got is None:
-                        got = model.classify(line)
-                        if len(line) < 300 and len(seen) < 20_000:
-                            seen[line] = got
-                    if got[0] != "unknown":
-                        rows.append((key, n, at, at + len(line), *got))
-                    at += len(line) + 1
+                lines = (said or "").split("\n")
+                starts = [0, *accumulate(len(line) + 1 for line in lines)]
+                block, alone = 0, []
+                for n, line in enumerate([*lines, ""]):
+                    if _WORD.search(line):
+                        got = seen.get(line)
+                        if got is None:
+                            got = model.classify(line)
+                            if len(line) < 300 and len(seen) < 20_000:
+                                seen[line] = got
+                        alone.append(got)
+                        continue
+                    for first, last, *got in model.notices(lines[block:n], alone) if alone else ():
+                        rows.append((key, block + first, starts[block + first], starts[block + last + 1] - 1, *got))
+                    block, alone = n + 1, []
             return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in arrow]
 
         return work

@@ -233,3 +233,29 @@ def test_licences(spark):
     got = licenses.scan(df).where("doc_id = 0").distinct().orderBy("paragraph").collect()
     assert [(r.paragraph, r.begin, r.finish, r.family) for r in got] == [(1, 4, 24, "Proprietary"), (2, 25, 56, "MIT")]
     assert licenses.scan(df).count() == 4 and licenses.scan(empty(spark)).count() == 0
+
+
+WRAPPED = {
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "BSD": "Redistribution and use in source and\nbinary forms, with or without\nmodification, are permitted provided\nthat the following conditions are met:",
+    "Proprietary": "This material may not be\nreproduced, distributed or\ntransmitted in any form\nwithout the prior written\npermission of the publisher.",
+}
+
+
+def test_wrapped_licences(spark):
+    around = "Café of the river and the boats\nwhere nobody reads"
+    texts, want = [], []
+    for family, notice in WRAPPED.items():
+        commented = "".join(f" * {line}\n" for line in notice.split("\n"))
+        words = notice.replace(" ", "\n")
+        for body in (notice, commented.rstrip("\n"), words):
+            for before, after in (("", ""), ("x\n\n", "\n\nend"), (f"{around}\n" * 40, f"\n{around}" * 40), (f"{body}\n", "")):
+                texts.append(before + body + after)
+                n = 2 if before.startswith(body) else 1
+                want.append([(family, before.count("\n") if n == 1 else k * (body.count("\n") + 1), body) for k in range(n)])
+    texts += ["\n".join(licenses.UNKNOWN), "\n\n".join(line for t in WRAPPED.values() for line in t.split("\n")[:1])]
+    got = {}
+    for r in licenses.scan(documents(spark, texts)).distinct().collect():
+        got.setdefault(r.doc_id, []).append((r.family, r.paragraph, texts[r.doc_id][r.begin : r.finish]))
+    for i, w in enumerate([*want, [], []]):
+        assert sorted(got.get(i, [])) == sorted(w), texts[i]
