@@ -10,8 +10,9 @@ the least hash of their id.
 Before the scan the elements that never are main text are left out with all they hold: head, script,
 style, forms, menus, asides, footers, page headers, and elements whose class, id or role names an advert, a notice, a
 sidebar, comments of readers and the like.  An ``<article>`` or ``<main>`` ends such an element if it was never closed.
-If the page marks its article or main part, its bounds are edges that the region can't cross, and only
-regions inside compete; a page with several articles keeps all the blocks of the best one.
+The scan doesn't decide where the page marks its text: all articles (or main parts, if it has no article) are kept
+whole, but for those recognised as comments or teasers by a name of their own or of an element around them.  Where all
+are such, the scan picks one, that which holds the region of greatest score.
 
 A block is the text between tags of block elements.  Character references are decoded, white space within a block
 becomes one space, ends are trimmed, empty blocks left out, the others joined by two line feeds.
@@ -50,6 +51,9 @@ _NOISE = re.compile(
 _STATE = re.compile(r"(?:has|with|without|no|show|hide|is)[-_]", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar"}
 
+#: What an article's start has for its room if the article seems to be a comment, a teaser or the like.
+_ASIDE = "aside"
+
 Token = tuple[int, str, str]  # kind (0 text, 1 start, 2 end), name or text, room
 
 
@@ -58,8 +62,13 @@ def _noisy(name: str, attributes: str, inside: bool) -> bool:
         return True
     if name == "header" and not inside:
         return True
-    if name in ("article", "main", "body", "html") or not attributes:
+    if name in ("article", "main", "body", "html"):
         return False
+    return _named(attributes)
+
+
+def _named(attributes: str) -> bool:
+    """Whether a class, an id or a role names what never is main text."""
     for m in _ATTR.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
@@ -105,7 +114,9 @@ def tokens(page: str) -> list[Token]:
             continue
         if name in _RAW:
             continue
-        if name in ("article", "main") and skip and not closing:
+        room = ""
+        if name in ("article", "main") and not closing:
+            room = _ASIDE if skip or _named(attributes) else ""
             skip, depth = "", 0
         if skip:
             if name == skip:
@@ -128,7 +139,7 @@ def tokens(page: str) -> list[Token]:
             elif name in rooms:
                 while rooms.pop() != name:
                     pass
-        out.append((2 if closing else 1, name, ""))
+        out.append((2 if closing else 1, name, room))
     return out
 
 
@@ -224,6 +235,30 @@ def region(found: list[Token], weights: dict) -> tuple[int, int]:
     return _siblings(found, *best_span)
 
 
+def regions(found: list[Token], weights: dict) -> list[tuple[int, int]]:
+    """(first token, end) of all marked parts that aren't comments or teasers; else the one region."""
+    starts = {v for k, v, _ in found if k == 1}
+    edge = next((name for name in ("article", "main") if name in starts), None)
+    out, open_, asides, first = [], [], 0, 0
+    for i, (kind, value, room) in enumerate(found if edge else ()):
+        if not kind or value != edge:
+            continue
+        before = bool(open_) and not asides
+        if kind == 1:
+            open_.append(room == _ASIDE)
+            asides += open_[-1]
+        elif open_:
+            asides -= open_.pop()
+        now = bool(open_) and not asides
+        if before and not now:
+            out.append((first, i))
+        elif now and not before:
+            first = i + 1
+    if open_ and not asides:
+        out.append((first, len(found)))
+    return out if any(_blocks(found, *part) for part in out) else [region(found, weights)]
+
+
 def _siblings(found: list[Token], first: int, last: int) -> tuple[int, int]:
     """The region with the headings and paragraphs beside it, up to the next container's bounds."""
     if first == last:
@@ -241,7 +276,7 @@ def extract(page: str | None, weights: dict = DEFAULT) -> str:
     if not page:
         return ""
     found = tokens(page)
-    return "\n\n".join(_blocks(found, *region(found, weights)))
+    return "\n\n".join(block for part in regions(found, weights) for block in _blocks(found, *part))
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", max_pages: int = MAX_PAGES) -> dict:

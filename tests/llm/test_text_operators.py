@@ -169,6 +169,16 @@ def test_html_extraction(spark):
     assert html.main_text(df.limit(0), html.fit(df.limit(0))).count() == 0
 
 
+def test_all_articles_but_comments_are_kept():
+    parts = "<article><h1>T</h1><p>a b c d e</p></article>{}<article><p>f</p><ul><li>g</li></ul></article>"
+    for between in ("", "<p>x y z</p>", "<article class='teaser'><p>buy buy buy buy buy buy buy</p></article>", "<section class='comments'><article><p>no no no no no no no no</p></article></section>"):
+        for page in (parts.format(between), f"<main>{parts.format(between)}</main>", parts.format(between) + between):
+            assert html.extract(page) == "T\n\na b c d e\n\nf\n\ng", page
+    assert html.extract("<article><p>a b</p><article class='comment'><p>no no no</p></article><p>c</p></article>") == "a b\n\nc"
+    assert html.extract("<article class='teaser'><p>a</p></article><article class='promo'><p>b c d</p></article>") == "b c d"
+    assert html.extract("<article class='comment'><p>a b</p></article><article></article>") == "a b"
+
+
 def test_region_is_the_greatest_sum():
     rnd = random.Random(4)
     weights = {"tags": {"b": -0.7, "i": -1.6}, "words": {}}
