@@ -9,7 +9,8 @@ the least hash of their id.
 
 Before the scan the elements that never are main text are left out with all they hold: head, script,
 style, forms, menus, asides, footers, page headers, and elements whose class, id or role names an advert, a notice, a
-sidebar, comments of readers and the like.  An ``<article>`` or ``<main>`` ends such an element if it was never closed.
+sidebar, comments of readers and the like; a p or li ends where the next tag implies it, all end with the container
+around them.  An ``<article>`` or ``<main>`` ends such an element if it was never closed.
 The scan doesn't decide where the page marks its text: all articles (or main parts, if it has no article) are kept
 whole, but for those recognised as comments or teasers by a name of their own or of an element around them.  Where all
 are such, the scan picks one, that which holds the region of greatest score.
@@ -42,6 +43,10 @@ _RAW = {"script", "style", "textarea", "noscript", "iframe", "svg", "template",
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _SKIP = {"head", "nav", "aside", "footer", "form", "menu", "button", "select", "dialog", "datalist", "fieldset", "label", "audio", "video"} | _RAW
 _BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | _SKIP
+#: Blocks of _BLOCK that may stand in a p.
+_INLINE = {"button", "select", "datalist", "label", "audio", "video", "script", "style", "textarea", "noscript", "iframe", "svg", "template", "title", "math", "object", "canvas", "head"}
+#: Containers whose end ends whatever is open in them; lists are counted for their li.
+_ENCLOSING = {"article", "main", "section", "div", "td", "li", "body", "blockquote", "ul", "ol", "menu"}
 _ROOMS = {"article", "main", "section", "div", "td", "li", "body", "p", "blockquote", "h1", "h2", "h3"}
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|breadcrumbs?|byline-share|captcha|comments?|commentlist|consent|cookies?|disclaimer|disqus|discussion|footer|footnav|gdpr|header|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notification|outbrain|overlay|pagination|pager|popup|promos?|promoted|promotion|recommended|related|replies|reply|respond|search|share|sharing|sidebar|side|signup|skip|social|sponsors?|sponsored|subscribe|subscription|taboola|tags|teaser|toolbar|topbar|widgets?|user-comments|reader-comments)(?:$|[\s_-])",
@@ -79,11 +84,21 @@ def _named(attributes: str) -> bool:
     return False
 
 
+def _ends(skip: str, name: str, closing: bool, within: Counter, rooms: list[str]) -> bool:
+    """Whether a tag ends a skipped element of another end: a p or li by what implies its end, any by the end of a container around it."""
+    if closing:
+        return name != skip and name in _ENCLOSING and not within[name] and (name in rooms or skip == "li" and name in ("ul", "ol"))
+    if skip == "p":
+        return name in _BLOCK - _INLINE
+    return skip == "li" and name == "li" and not within["ul"] and not within["ol"] and not within["menu"]
+
+
 def tokens(page: str) -> list[Token]:
     """Texts and tags of what may be main text; rooms are the nearest containers."""
     out: list[Token] = []
     rooms: list[str] = []
     skip, depth, inside, at, end = "", 0, 0, 0, len(page)
+    within: Counter = Counter()  # containers open in the skipped element
     lower = None
     while at < end:
         i = page.find("<", at)
@@ -118,7 +133,11 @@ def tokens(page: str) -> list[Token]:
         if name in ("article", "main") and not closing:
             room = _ASIDE if skip or _named(attributes) else ""
             skip, depth = "", 0
+        if skip and _ends(skip, name, closing, within, rooms):
+            skip, depth = "", 0
         if skip:
+            if name in _ENCLOSING:
+                within[name] += -1 if closing and within[name] else 0 if closing else 1
             if name == skip:
                 depth += -1 if closing else 1
                 if depth == 0:
@@ -128,7 +147,7 @@ def tokens(page: str) -> list[Token]:
             continue
         if not closing and _noisy(name, attributes, inside > 0):
             if name not in _VOID and not attributes.rstrip().endswith("/"):
-                skip, depth = name, 1
+                skip, depth, within = name, 1, Counter()
             out.append((1, "hr", ""))
             continue
         if name in ("article", "main"):

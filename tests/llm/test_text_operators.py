@@ -197,6 +197,19 @@ def test_all_articles_but_comments_are_kept():
     assert html.extract("<article class='comment'><p>a b</p></article><article></article>") == "a b"
 
 
+def test_unclosed_boilerplate_ends():
+    for page, want in [
+        ('<article><p class="ad">Buy<p>Text</p><p>More</p></article>', "Text\n\nMore"),
+        ('<article><p class="ad">Buy <b>now</b><ul><li>a</li></ul><p>More</p></article>', "a\n\nMore"),
+        ('<article><ul><li class="ad">Buy<ul><li>no</li></ul><li>a<li>b</ul><p>c</p></article>', "a\n\nb\n\nc"),
+        ('<article><ul><li>a<li class="ad">Buy</ul><p>c</p></article>', "a\n\nc"),
+        ('<article><div><section class="promo">Buy<div>no</div></div><p>a</p></article>', "a"),
+        ('<article><p>a</p><div class="ad">no</article><article><p>b</p></article>', "a\n\nb"),
+        ('<article><div class="ad"><div>no</div><p>no</p></div><p>b</p></article>', "b"),
+    ]:
+        assert html.extract(page) == want, page
+
+
 def test_region_is_the_greatest_sum():
     rnd = random.Random(4)
     weights = {"tags": {"b": -0.7, "i": -1.6}, "words": {}}
