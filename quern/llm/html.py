@@ -1,19 +1,20 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is read as one sequence of words and tags.  Words score positive, tags negative; one linear scan
-finds the contiguous region of greatest total score.  The weights come from labelled pages, those
-with exactly one ``<article>``: with a tag's frequency inside and outside of it,
-its weight is -1 - log(outside / inside) where it is rarer inside, -1 where it isn't (never above -0.1), and a
-word's weight follows its nearest container in the same way, from ``LEAST_WORD`` to 2.  The labelled ones of about ``max_pages`` pages train, those of
-the least hash of their id.
-
-Before the scan the elements that never are main text are left out with all they hold: head, script,
-style, forms, menus, asides, footers, page headers, and elements whose class, id or role names an advert, a notice, a
-sidebar, comments of readers and the like; a p or li ends where the next tag implies it, all end with the container
-around them.  An ``<article>`` or ``<main>`` ends such an element if it was never closed.
-The scan doesn't decide where the page marks its text: all articles (or main parts, if it has no article) are kept
-whole, but for those recognised as comments or teasers by a name of their own or of an element around them.  Where all
-are such, the scan picks one, that which holds the region of greatest score.
+A page is read as one sequence of words and tags.  Words score positive, tags negative; one linear scan over the whole
+page finds the contiguous region of greatest total score, the first among equals.  Nothing but the weights
+decides where it lies: ``<article>`` and ``<main>`` are tags like others there.
+
+The weights come from labelled pages, those with exactly one ``<article>``: of every tag (with its first class, and
+without) and of the words by their nearest container, ``fit`` counts on the executors how often they stand inside
+and outside of the article, whose own tags count as outside.  With r = log(P(x inside) / P(x outside)) a tag weighs r, from
+``LEAST_TAG`` to ``MOST_TAG``, a word r, from ``LEAST_WORD`` to ``MOST_WORD``; what no labelled page holds has the weight of ``DEFAULT``.
+The labelled ones of about ``max_pages`` pages train, those of the least hash of their id; ``MAX_KEYS`` counts are kept.
+
+Elements that never are main text score as one tag (``LEFT_OUT``), and a region that holds them goes on without them:
+script, style, menus, asides, forms, footers, headers outside of an article or main, roles such as navigation, and
+classes or ids that are learned (``LEARNED`` times as frequent outside of articles) or consist of words of ``NAMES``.
+A p or li ends where the next tag implies it, all end with the container around them.  If all text of a page is left
+out so, articles and main parts are read in spite of their names and of what is open around them.
 
 A block is the text between tags of block elements.  Character references are decoded, white space within a block
 becomes one space, ends are trimmed, empty blocks left out, the others joined by two line feeds.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from html import unescape
 
 import pyarrow as pa
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-MAX_PAGES, LEAST_WORD = 2000, 0.2
+MAX_PAGES, MAX_KEYS, LEARNED, LEAST_SEEN = 2000, 5000, 20.0, 10
+LEAST_WORD, MOST_WORD, LEAST_TAG, MOST_TAG, LEFT_OUT = 0.05, 2.0, -8.0, -0.05, -0.2
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -47,71 +50,71 @@ _BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd",
 _INLINE = {"button", "select", "datalist", "label", "audio", "video", "script", "style", "textarea", "noscript", "iframe", "svg", "template", "title", "math", "object", "canvas", "head"}
 #: Containers whose end ends whatever is open in them; lists are counted for their li.
 _ENCLOSING = {"article", "main", "section", "div", "td", "li", "body", "blockquote", "ul", "ol", "menu"}
-_ROOMS = {"article", "main", "section", "div", "td", "li", "body", "p", "blockquote", "h1", "h2", "h3"}
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|breadcrumbs?|byline-share|captcha|comments?|commentlist|consent|cookies?|disclaimer|disqus|discussion|footer|footnav|gdpr|header|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notification|outbrain|overlay|pagination|pager|popup|promos?|promoted|promotion|recommended|related|replies|reply|respond|search|share|sharing|sidebar|side|signup|skip|social|sponsors?|sponsored|subscribe|subscription|taboola|tags|teaser|toolbar|topbar|widgets?|user-comments|reader-comments)(?:$|[\s_-])",
-    re.I,
-)
-#: Names that tell of a page's state, not of what an element is: has-sidebar.
-_STATE = re.compile(r"(?:has|with|without|no|show|hide|is)[-_]", re.I)
+_ROOMS = {"article", "main", "section", "div", "td", "li", "body", "p", "blockquote", "h1", "h2", "h3", "a", "nav", "aside", "footer", "header", "form"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar"}
 
-#: What an article's start has for its room if the article seems to be a comment, a teaser or the like.
-_ASIDE = "aside"
+Token = tuple[int, str, str, bool]  # kind (0 text, 1 start, 2 end), text or tag, key of the weight, whether it is left out
 
-Token = tuple[int, str, str]  # kind (0 text, 1 start, 2 end), name or text, room
+#: What a class or an id says of an element without any training, if it consists of these words alone.
+NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies notice newsletter nav navbar navigation promo promoted reader reply respond sidebar site footer skip social sponsored subscribe teaser user widget".split())
+_TEXTUAL = {"p": -0.1, "h1": -0.1, "h2": -0.1, "h3": -0.1, "h4": -0.1, "b": -0.05, "i": -0.05, "em": -0.05, "strong": -0.05, "br": -0.05, "span": -0.05, "code": -0.05, "sub": -0.05, "sup": -0.05, "li": -0.3, "ul": -0.3, "ol": -0.3, "blockquote": -0.2, "pre": -0.2, "a": -0.5, "article": -1.0, "main": -1.0, "body": -3.0, "html": -3.0}
+#: Weights of what wasn't seen in training, and of all without any.
+DEFAULT = {"tags": {**dict.fromkeys(("nav", "aside", "footer", "header", "form"), -3.0), **_TEXTUAL}, "words": {"a": 0.3}, "names": NAMES, "skip": frozenset(_SKIP)}
 
 
-def _noisy(name: str, attributes: str, inside: bool) -> bool:
-    if name in _SKIP:
-        return True
-    if name == "header" and not inside:
-        return True
-    if name in ("article", "main", "body", "html"):
-        return False
-    return _named(attributes)
+def _classes(attributes: str) -> list[str]:
+    """Names in class and id, in lower case."""
+    return [n.lower() for m in _ATTR.finditer(attributes) if m[1].lower() != "role" for n in (m[2] or m[3] or m[4] or "").split()]
+
 
+def _key(name: str, attributes: str) -> str:
+    """A tag with its first class."""
+    m = next((m for m in _ATTR.finditer(attributes) if m[1].lower() == "class"), None) if attributes else None
+    value = (m[2] or m[3] or m[4] or "").split() if m else ()
+    return f"{name}.{value[0].lower()[:40]}" if value else name
 
-def _named(attributes: str) -> bool:
+
+def _named(attributes: str, names: Iterable[str]) -> bool:
     """Whether a class, an id or a role names what never is main text."""
-    for m in _ATTR.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "role":
-            if value.lower() in _ROLES:
-                return True
-        elif any(_NOISE.search(n) and not _STATE.match(n) for n in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).split()):
-            return True
-    return False
-
-
-def _ends(skip: str, name: str, closing: bool, within: Counter, rooms: list[str]) -> bool:
-    """Whether a tag ends a skipped element of another end: a p or li by what implies its end, any by the end of a container around it."""
+    if not attributes:
+        return False
+    if any(m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").lower() in _ROLES for m in _ATTR.finditer(attributes)):
+        return True
+    return any(n in names or NAMES & names and all(x in names for x in re.split(r"[-_]+", n) if x) and n.strip("-_") for n in _classes(attributes))
+
+
+def _ends(skip: str, name: str, closing: bool, within: Counter, rooms: list[tuple[str, str]]) -> bool:
+    """Whether a tag ends an element left out that has another end: a p or li by what implies its end, any by the end of a container around it."""
     if closing:
-        return name != skip and name in _ENCLOSING and not within[name] and (name in rooms or skip == "li" and name in ("ul", "ol"))
+        return name != skip and name in _ENCLOSING and not within[name] and (any(r[0] == name for r in rooms) or skip == "li" and name in ("ul", "ol"))
     if skip == "p":
         return name in _BLOCK - _INLINE
     return skip == "li" and name == "li" and not within["ul"] and not within["ol"] and not within["menu"]
 
 
-def tokens(page: str) -> list[Token]:
-    """Texts and tags of what may be main text; rooms are the nearest containers."""
+def tokens(page: str, weights: dict = DEFAULT, trust: bool = True) -> list[Token]:
+    """Texts and tags of a page; without trust, articles and main parts end what is left out and aren't for their names."""
     out: list[Token] = []
-    rooms: list[str] = []
+    rooms: list[tuple[str, str]] = []
+    names, skipped = weights["names"], weights["skip"]
     skip, depth, inside, at, end = "", 0, 0, 0, len(page)
-    within: Counter = Counter()  # containers open in the skipped element
+    within: Counter = Counter()  # containers open in the element left out
     lower = None
+
+    def room() -> str:
+        return rooms[-1][1] if rooms else "body"
+
     while at < end:
         i = page.find("<", at)
         if i < 0:
             i = end
-        if i > at and not skip:
-            out.append((0, page[at:i], rooms[-1] if rooms else "body"))
+        if i > at:
+            out.append((0, page[at:i], room(), bool(skip)))
         if i == end:
             break
         m = _TOKEN.match(page, i)
         if not m:
-            if not skip:
-                out.append((0, "<", rooms[-1] if rooms else "body"))
+            out.append((0, "<", room(), bool(skip)))
             at = i + 1
             continue
         at = m.end()
@@ -119,22 +122,19 @@ def tokens(page: str) -> list[Token]:
         if not name:
             continue
         closing, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
-        if name in _RAW and not closing:
-            if lower is None:
-                lower = page.lower()
-            found = lower.find("</" + name, at)
-            if found < 0:
-                break
-            at = found
-            continue
         if name in _RAW:
+            if not closing:
+                if lower is None:
+                    lower = page.lower()
+                found = lower.find("</" + name, at)
+                if found < 0:
+                    break
+                at = found
             continue
-        room = ""
-        if name in ("article", "main") and not closing:
-            room = _ASIDE if skip or _named(attributes) else ""
-            skip, depth = "", 0
-        if skip and _ends(skip, name, closing, within, rooms):
+        key = _key(name, attributes)
+        if skip and not trust and name in ("article", "main") and not closing or skip and _ends(skip, name, closing, within, rooms):
             skip, depth = "", 0
+        starts = False
         if skip:
             if name in _ENCLOSING:
                 within[name] += -1 if closing and within[name] else 0 if closing else 1
@@ -142,56 +142,105 @@ def tokens(page: str) -> list[Token]:
                 depth += -1 if closing else 1
                 if depth == 0:
                     skip = ""
+                    out.append((2, name, key, True))
+                    continue
             elif name in ("body", "html") or skip == "head" and name not in ("meta", "link", "base"):
                 skip, depth = "", 0
-            continue
-        if not closing and _noisy(name, attributes, inside > 0):
-            if name not in _VOID and not attributes.rstrip().endswith("/"):
+        elif not closing and name not in _VOID and not attributes.rstrip().endswith("/"):
+            marked = name in ("article", "main")
+            starts = name in skipped or name == "header" and not inside and bool(skipped) or name not in ("body", "html") and (trust or not marked) and _named(attributes, names)
+            if starts:
                 skip, depth, within = name, 1, Counter()
-            out.append((1, "hr", ""))
-            continue
         if name in ("article", "main"):
             inside = max(0, inside + (-1 if closing else 1))
-        if name in _ROOMS and name not in _VOID:
+        if not skip and name in _ROOMS and name not in _VOID:
             if not closing:
-                rooms.append(name)
-            elif name in rooms:
-                while rooms.pop() != name:
-                    pass
-        out.append((2 if closing else 1, name, room))
+                if name in _BLOCK:
+                    while rooms and rooms[-1][0] in ("a", "p"):  # neither holds blocks here, or they weren't closed
+                        rooms.pop()
+                rooms.append((name, key))
+            elif any(r[0] == name for r in rooms):
+                while True:
+                    r = rooms.pop()
+                    if r[0] == name:
+                        key = r[1]
+                        break
+        out.append((2 if closing else 1, name, key, bool(skip) and not starts))
+        if starts:
+            out[-1] = (1, "hr", "", False)  # the element as a whole
+    return out
+
+
+def observed(page: str | None) -> Counter:
+    """(what, key, whether inside) -> count, of a page with exactly one article; what is tag, word or name."""
+    out: Counter = Counter()
+    if not page or len(re.findall(r"<article[\s>]", page, re.I)) != 1:
+        return out
+    inside = False
+    for kind, value, key, _ in tokens(page, {"names": frozenset(), "skip": frozenset()}):
+        if kind and value == "article":
+            inside = kind == 1
+            out["tag", key, False] += 1
+        elif kind:
+            out["tag", key, inside] += 1
+            if key != value:
+                out["name", key.partition(".")[2], inside] += kind == 1
+        else:
+            out["word", key, inside] += len(value.split())
     return out
 
 
-DEFAULT = {"tags": {}, "words": {}}
+def weigh(counts: Counter) -> dict:
+    """Weights of observed counts."""
+    sums = Counter()
+    for (what, _, inside), n in counts.items():
+        sums[what, inside] += n
+    keys = {k[:2] for k in counts}
+
+    def ratio(what: str, key: str) -> float:
+        return math.log((counts[what, key, True] + 0.5) / (sums[what, True] + 1)) - math.log((counts[what, key, False] + 0.5) / (sums[what, False] + 1))
+
+    tags = {k: max(LEAST_TAG, min(MOST_TAG, ratio(w, k))) for w, k in keys if w == "tag"}
+    words = {k: max(LEAST_WORD, min(MOST_WORD, ratio(w, k))) for w, k in keys if w == "word"}
+    noise = {k for w, k in keys if w == "name" and counts[w, k, False] >= max(LEAST_SEEN, LEARNED * counts[w, k, True])}
+    return {"tags": DEFAULT["tags"] | tags, "words": DEFAULT["words"] | words, "names": NAMES | noise, "skip": DEFAULT["skip"]}
 
 
-def train(pages: list[str | None]) -> dict:
-    """Weights of tags and of words by room, from those pages that have exactly one article."""
-    inner, outer, word_in, word_out = Counter(), Counter(), Counter(), Counter()
+def train(pages: Iterable[str | None]) -> dict:
+    """Weights from pages in memory."""
+    counts: Counter = Counter()
     for page in pages:
-        if not page or len(re.findall(r"<article[\s>]", page, re.I)) != 1:
-            continue
-        body = page.lower().find("<body")
-        a, b = re.search(r"<article[\s>]", page, re.I).start(), page.lower().find("</article")
-        b = len(page) if b < 0 else b
-        start = page.find(">", a) + 1
-        for part, tags, said in ((page[start:b], inner, word_in), (page[max(0, body) : a] + page[b:], outer, word_out)):
-            room = "body"
-            for piece in re.split(r"(<[^>]*>)", part):
-                if piece.startswith("<"):
-                    if name := re.match(r"</?([a-zA-Z][^\s/>]*)", piece):
-                        tags[name[1].lower()] += 1
-                        room = name[1].lower() if name[1].lower() in _ROOMS else room
-                else:
-                    said[room] += len(piece.split())
-
-    def ratio(a: Counter, b: Counter, x: str) -> float:
-        return math.log((a[x] + 1) / (sum(a.values()) + len(a | b) + 1)) - math.log((b[x] + 1) / (sum(b.values()) + len(a | b) + 1))
-
-    return {
-        "tags": {x: min(-0.1, -1.0 + min(0.0, ratio(inner, outer, x))) for x in inner | outer},
-        "words": {x: max(LEAST_WORD, min(2.0, 1.0 + 0.5 * ratio(word_in, word_out, x))) for x in word_in | word_out},
-    }
+        counts.update(observed(page))
+    return weigh(counts)
+
+
+def scores(found: list[Token], weights: dict) -> list[float]:
+    """What every token adds to a region."""
+    tags, words = weights["tags"], weights["words"]
+    out = []
+    for kind, value, key, out_ in found:
+        if out_:
+            out.append(0.0)
+        elif kind == 0:
+            n = len(value.split())
+            out.append(n * (words[key] if key in words else words.get(key.partition(".")[0], 1.0)) if n else 0.0)
+        elif value == "hr":
+            out.append(LEFT_OUT)
+        else:
+            out.append(tags[key] if key in tags else tags.get(value, -1.0))
+    return out
+
+
+def region(found: list[Token], weights: dict) -> tuple[int, int]:
+    """(first token, end) of the contiguous region of greatest score, by one linear scan; the first and shortest among equals."""
+    best, span, score, begin = 0.0, (0, 0), 0.0, 0
+    for i, x in enumerate(scores(found, weights)):
+        score += x
+        if score > best:
+            best, span = score, (begin, i + 1)
+        if score <= 0:
+            score, begin = 0.0, i + 1
+    return span
 
 
 def _blocks(found: list[Token], first: int, last: int) -> list[str]:
@@ -204,7 +253,9 @@ def _blocks(found: list[Token], first: int, last: int) -> list[str]:
                 out.append(said)
             part.clear()
 
-    for kind, value, _ in found[first:last]:
+    for kind, value, _, left_out in found[first:last]:
+        if left_out:
+            continue
         if kind == 0:
             part.append(value)
         elif value == "br":
@@ -215,97 +266,44 @@ def _blocks(found: list[Token], first: int, last: int) -> list[str]:
     return out
 
 
-def region(found: list[Token], weights: dict) -> tuple[int, int]:
-    """(first token, end) of the contiguous region of greatest score, by one linear scan."""
-    tag, word = weights["tags"], weights["words"]
-    marks = [name for name in ("article", "main") if any(k == 1 and v == name for k, v, _ in found)]
-    edge = marks[0] if marks else None
-    best, best_span, score, begin, depth = 0.0, (0, 0), 0.0, 0, 0
-    for i, (kind, value, room) in enumerate(found):
-        if kind and value == edge:
-            depth += 1 if kind == 1 else -1 if depth else 0
-            if depth == (1 if kind == 1 else 0):
-                score, begin = 0.0, i + 1  # no region crosses the bounds of the marked part
-            continue
-        if edge and not depth:
-            continue
-        if kind == 0:
-            n = len(value.split())
-            score += n * word.get(room, 1.0)
-        elif value != "hr":
-            score += tag.get(value, -1.0)
-        if edge and score < 0:
-            score = 0.0  # within the marked part the region goes on
-        if score > best:
-            best, best_span = score, (begin, i + 1)
-        if score < 0 and not edge:
-            score, begin = 0.0, i + 1
-    if edge and best > 0:  # all of the part that holds the region
-        first, last = best_span
-        depth = 0
-        for j in range(first, len(found)):
-            kind, value, _ = found[j]
-            if kind and value == edge:
-                depth += 1 if kind == 1 else -1
-                if depth < 0:
-                    break
-            last = max(last, j + 1)
-        return first, last
-    return _siblings(found, *best_span)
-
-
-def regions(found: list[Token], weights: dict) -> list[tuple[int, int]]:
-    """(first token, end) of all marked parts that aren't comments or teasers; else the one region."""
-    starts = {v for k, v, _ in found if k == 1}
-    edge = next((name for name in ("article", "main") if name in starts), None)
-    out, open_, asides, first = [], [], 0, 0
-    for i, (kind, value, room) in enumerate(found if edge else ()):
-        if not kind or value != edge:
-            continue
-        before = bool(open_) and not asides
-        if kind == 1:
-            open_.append(room == _ASIDE)
-            asides += open_[-1]
-        elif open_:
-            asides -= open_.pop()
-        now = bool(open_) and not asides
-        if before and not now:
-            out.append((first, i))
-        elif now and not before:
-            first = i + 1
-    if open_ and not asides:
-        out.append((first, len(found)))
-    return out if any(_blocks(found, *part) for part in out) else [region(found, weights)]
-
-
-def _siblings(found: list[Token], first: int, last: int) -> tuple[int, int]:
-    """The region with the headings and paragraphs beside it, up to the next container's bounds."""
-    if first == last:
-        return first, last
-    bounds = _BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption"}
-    while first and not (found[first - 1][0] and found[first - 1][1] in bounds):
-        first -= 1
-    while last < len(found) and not (found[last][0] and found[last][1] in bounds):
-        last += 1
-    return first, last
-
-
 def extract(page: str | None, weights: dict = DEFAULT) -> str:
     """The main text of a page; empty if there is none."""
     if not page:
         return ""
-    found = tokens(page)
-    return "\n\n".join(block for part in regions(found, weights) for block in _blocks(found, *part))
+    for trust in (True, False):
+        found = tokens(page, weights, trust)
+        blocks = _blocks(found, *region(found, weights))
+        if blocks or not re.search(r"<(?:article|main)[\s>]", page, re.I):
+            break
+    return "\n\n".join(blocks)
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", max_pages: int = MAX_PAGES) -> dict:
-    """Train on the labelled ones of about max_pages pages, at most 2 * max_pages: those of the least hash of their id.
+    """Train on the labelled ones of about max_pages pages, those of the least hash of their id.
 
-    The hash's limit follows from the number of pages, so no task sends more than its share to the driver."""
+    The hash's limit follows from the number of pages.  Counts are added up on the executors; the driver gets the MAX_KEYS
+    most frequent of each kind, so pages don't leave the scan."""
     n = pages.count()
     share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
     chosen = pages.where(share <= max_pages / max(1, n)) if n > max_pages else pages
-    return train([r[0] for r in chosen.select(html).limit(2 * max_pages).collect()])
+    arrow = pa.schema([("what", pa.string()), ("name", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())])
+
+    def make():
+        def work(cols):
+            counts: Counter = Counter()
+            for page in cols[0]:
+                counts.update(observed(page))
+            return [list(c) for c in zip(*((*k, v) for k, v in counts.items()), strict=True)] if counts else [[] for _ in arrow]
+
+        return work
+
+    rows = map_rows(chosen.select(F.col(html).alias("html")), make, "what string, name string, inside boolean, n bigint", arrow)
+    per = rows.groupBy("what", "name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("o"))
+    counts: Counter = Counter()
+    for what in ("tag", "word", "name"):
+        for r in per.where(F.col("what") == what).orderBy(F.desc(F.col("i") + F.col("o")), "name").limit(MAX_KEYS).collect():
+            counts.update({(what, r.name, True): r.i, (what, r.name, False): r.o})
+    return weigh(counts)
 
 
 def main_text(pages: DataFrame, weights: dict, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
