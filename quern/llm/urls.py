@@ -10,7 +10,8 @@ md5), whose grams aren't counted: the score bin that best separates
 accepted from rejected ones, by balanced accuracy, the lowest among equals, moved halfway to the next lower bin that
 holds any.
 
-What is gathered from the pages: the grams of all distinct decided urls, counted with partial
+Distinct strings are told apart by their SHA-256 digest, which stands for them wherever their grams are: what is written and shuffled is linear in
+a url's length.  What is gathered from the pages: the grams of all distinct decided urls, counted with partial
 aggregation.  Only bin counts (at most ``2 * BINS + 1`` rows) come to the driver.
 
 Defined results: a null url, or one without ``://``, has empty host and path and score 0; without
@@ -31,6 +32,8 @@ ORDER, WEIGHT, ALPHABET, SCALE = 4, 2.0, 256.0, 1_000_000
 #: Score bins of 1/100 nat on either side of 0, for calibration.
 BINS = 1000
 _PAD = "\x02"
+#: Characters of a url that one row holds while grams are made, and keys over which a gram's rows are spread.
+BLOCK, SALTS = 256, 8
 
 
 def _lower(c: Column) -> Column:
@@ -58,14 +61,19 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _grams(df: DataFrame) -> DataFrame:
-    """One row for each character of ``s``: the character with the ORDER ones before it."""
-    padded = F.concat(F.lit(_PAD * ORDER), "s")
-    return df.withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.substr(padded, i, F.lit(ORDER + 1)))))
+    """(the columns but ``s``, gram): one row for each character of ``s``, the character with the ORDER ones before it.
+
+    s is first cut into blocks of BLOCK characters that carry the ORDER characters before them, so no row holds more of it and the
+    work is linear in its length."""
+    blocks = F.regexp_extract_all(F.concat(F.lit(_PAD * ORDER), "s"), F.lit(f"(?s)(?=(.{{1,{BLOCK + ORDER}}})).{{1,{BLOCK}}}"), F.lit(1))
+    cut = df.withColumn("_block", F.explode(blocks)).drop("s").where(F.length("_block") > ORDER)
+    each = F.transform(F.sequence(F.lit(1), F.length("_block") - ORDER), lambda i: F.substr("_block", i, F.lit(ORDER + 1)))
+    return cut.withColumn("gram", F.explode(each)).drop("_block")
 
 
 def _counts(train: DataFrame) -> DataFrame:
     """(gram, g, b): how often every longest gram occurs in accepted and in rejected urls."""
-    return checkpoint(_grams(train.where("length(s) > 0")).groupBy("gram").agg(F.sum(F.col("good").cast("bigint")).alias("g"), F.sum((~F.col("good")).cast("bigint")).alias("b")))
+    return checkpoint(_grams(train.where("length(s) > 0").select("s", "good")).groupBy("gram").agg(F.sum(F.col("good").cast("bigint")).alias("g"), F.sum((~F.col("good")).cast("bigint")).alias("b")))
 
 
 def _suffix_counts(full: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -76,9 +84,12 @@ def _suffix_counts(full: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 
 def scored(urls: DataFrame, train: DataFrame) -> DataFrame:
-    """(s, score) of the distinct strings ``s`` of urls; train has s and good.  score is in millionths of a nat a character."""
+    """(id, score) of urls (id, s), each once; train has s and good.  score is in millionths of a nat a character.
+
+    The equal grams of a url are one row before anything is shuffled; a frequent gram's rows are spread over SALTS keys."""
     full = _counts(train)
-    grams = checkpoint(_grams(urls.where("length(s) > 0")).select("s", "gram"))
+    salt = F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt")
+    grams = checkpoint(_grams(urls.where("length(s) > 0").select("id", "s")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("n")).select("id", "gram", "n", salt))
     table = grams.select("gram").distinct()
     pg, pb = F.lit(1.0 / ALPHABET), F.lit(1.0 / ALPHABET)
     for n in range(ORDER + 1):
@@ -89,8 +100,8 @@ def scored(urls: DataFrame, train: DataFrame) -> DataFrame:
         pb = (F.coalesce("b", F.lit(0)) + WEIGHT * pb) / (F.coalesce("hb", F.lit(0)) + WEIGHT)
         table = table.select("gram", pg.alias("pg"), pb.alias("pb"))
         pg, pb = F.col("pg"), F.col("pb")
-    ratio = table.select("gram", F.round(F.log(F.col("pg") / F.col("pb")) * SCALE).cast("bigint").alias("ratio"))
-    return grams.join(ratio, "gram").groupBy("s").agg(F.floor(F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+    ratio = table.select("gram", F.round(F.log(F.col("pg") / F.col("pb")) * SCALE).cast("bigint").alias("ratio"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return grams.join(ratio, ["gram", "salt"]).groupBy("id").agg(F.floor(F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).alias("score"))
 
 
 def threshold(held: DataFrame) -> int:
@@ -118,15 +129,16 @@ def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).select("key", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("key", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("s"))
-    strings = checkpoint(rows.groupBy("s").agg(F.max("ruled").alias("ruled"), F.min("ruled").alias("also")))
-    decided = strings.where((F.col("ruled") == F.col("also")) & (F.length("s") > 0)).select("s", (F.col("ruled") == "allow").alias("good"))
+    s = F.concat("host", "path")
+    rows = rows.select("key", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.unhex(F.sha2(s.cast("binary"), 256)).alias("id"), s.alias("s"))
+    strings = checkpoint(rows.groupBy("id").agg(F.max("ruled").alias("ruled"), F.min("ruled").alias("also"), F.any_value("s").alias("s")))
+    decided = strings.where((F.col("ruled") == F.col("also")) & (F.length("s") > 0)).select("id", "s", (F.col("ruled") == "allow").alias("good"))
     held = F.conv(F.substring(F.md5(F.col("s").cast("binary")), 1, 8), 16, 10).cast("bigint") % 5 == 0
     model = decided.where(~held)
-    ask = strings.where("ruled is null").select("s").unionByName(decided.where(held).select("s"))
+    ask = strings.where("ruled is null").select("id", "s").unionByName(decided.where(held).select("id", "s"))
     scores = checkpoint(scored(ask, model))
-    limit = threshold(decided.where(held).join(scores, "s").select("good", "score"))
-    out = rows.join(scores, "s", "left")
+    limit = threshold(decided.where(held).join(scores, "id").select("good", "score"))
+    out = rows.drop("s").join(scores, "id", "left")
     score = F.when(F.col("rule").isNull(), F.coalesce("score", F.lit(0)))
     final = F.coalesce("ruled", F.when(score >= limit, "allow").otherwise("block"))
     return out.select(F.col("key").alias(key), "host", "path", "rule", final.alias("verdict"), (score / SCALE).alias("score"))
