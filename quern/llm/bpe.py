@@ -10,9 +10,16 @@ are taken alternately from the left.  So a very long word needs few steps.
 
 Decoding: (text, position, token) rows join the vocabulary and are aggregated in order.
 
+A word of more than ``LONG`` bytes is cut into windows of ``WINDOW`` bytes that overlap by ``OVERLAP``, which contract side by
+side.  Where two neighbouring windows have a token in common (same start, same end), the tokens of the first up to it and
+of the second from it on are joined.  That is exact: contraction is determined by ranks alone, so a sequence of tokens is a text's encoding if and only
+if every two neighbours are the encoding of their own concatenation (up to the first contraction across a bound, the
+tokens beside it contract as they would alone), and each two neighbours after joining stood together in an encoded window.
+Windows without a common token become one, which contracts again.
+
 Defined results: null or empty text has no tokens and decodes to no bytes; null ids
 decode as empty; an id outside the vocabulary raises.  Repeated rows give repeated rows.
-Memory: words are encoded ``CHUNK_BYTES`` at a time, ``CACHE_WORDS`` encoded words are kept.
+Memory: words are encoded ``CHUNK_BYTES`` at a time and ids decoded ``DECODE_TOKENS`` at a time, ``CACHE_WORDS`` encoded words are kept; DuckDB doesn't spill.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ from .common import held, map_rows
 CHUNK_BYTES, CACHE_WORDS, DECODE_TOKENS, SLICE = 400_000, 400_000, 400_000, 600
 #: Words of up to so many bytes are contracted one pair a step, which needs fewer operations a step.
 SHORT = 48
+LONG, WINDOW, OVERLAP = 2000, 320, 96
 _SHIFT = 17  # bits of a token id within a pair
 
 _ENCODE_SHORT = """
@@ -89,7 +97,7 @@ class Codec:
 
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "160MB"})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "160MB", "temp_directory": ""})
         left, right, token, unsafe = [], [], [], set()
         for piece, rank in self.ranks.items():
             for i in range(1, len(piece)):
@@ -101,6 +109,8 @@ class Codec:
         self._table("merges", pair=pair, tok=np.array(token, np.int64), safe=np.array([t not in unsafe for t in token], bool))
         tokens = sorted(self.ranks.items(), key=lambda x: x[1])
         self._table("vocabulary", tok=np.array([r for _, r in tokens], np.int64), piece=[p.decode("latin-1") for p, _ in tokens])
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.sizes[list(self.ranks.values())] = [len(p) for p in self.ranks]
         self.byte = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
         if (self.byte < 0).any():
             raise ValueError("the rank file lacks single bytes")
@@ -137,7 +147,7 @@ class Codec:
             pending, size = [], 0
             for word in words:
                 raw = word.encode()
-                if not fits(len(raw)):
+                if not fits(len(raw)) or len(raw) > LONG:
                     continue
                 if (whole := self.ranks.get(raw)) is not None:
                     self.cache[word] = str(whole)
@@ -154,6 +164,61 @@ class Codec:
         found = self._contract([raw for _, raw in pending], sql)
         self.cache.update((w, ",".join(map(str, x))) for (w, _), x in zip(pending, found, strict=True))
 
+    def _windows(self, parts: list[bytes]) -> dict[bytes, list[int]]:
+        """The encodings of different byte strings, in chunks of bounded size."""
+        out: dict[bytes, list[int]] = {}
+        for short in (True, False):
+            chosen = [p for p in dict.fromkeys(parts) if (len(p) <= WINDOW) == short]
+            at = 0
+            while at < len(chosen):
+                end, size = at, 0
+                while end < len(chosen) and (end == at or size + len(chosen[end]) <= CHUNK_BYTES):
+                    size += len(chosen[end])
+                    end += 1
+                out.update(zip(chosen[at:end], self._contract(chosen[at:end], _ENCODE_SHORT if short else _ENCODE), strict=True))
+                at = end
+        return out
+
+    def encode_long(self, raw: bytes) -> np.ndarray:
+        """The ids of a long word, from overlapping windows."""
+        if (whole := self.ranks.get(raw)) is not None:
+            return np.array([whole], np.int64)
+        spans = [(a, min(len(raw), a + WINDOW)) for a in range(0, max(1, len(raw) - OVERLAP), WINDOW - OVERLAP)]
+        known = self._windows([raw[a:b] for a, b in spans])
+        while True:
+            out: list[np.ndarray] = []
+            merged: list[tuple[int, int]] = []
+            begin = 0  # where the part of the window at hand that is still needed begins
+            for n, (a, b) in enumerate(spans):
+                ids = np.array(known[raw[a:b]], np.int64)
+                starts = a + np.concatenate([[0], np.cumsum(self.sizes[ids])])
+                keep = starts[:-1] >= begin
+                common = None
+                if n + 1 < len(spans):
+                    na, nb = spans[n + 1]
+                    other = na + np.concatenate([[0], np.cumsum(self.sizes[np.array(known[raw[na:nb]], np.int64)])])
+                    _, i, j = np.intersect1d(starts[:-1], other[:-1], return_indices=True)
+                    same = (starts[i + 1] == other[j + 1]) & (starts[i] >= begin)
+                    common = int(starts[i[same][same.sum() // 2]]) if same.any() else None
+                    if common is None:
+                        merged.append((n, n + 1))
+                    else:
+                        keep &= starts[:-1] < common
+                out.append(ids[keep])
+                if common is not None:
+                    begin = common
+            if not merged:
+                return np.concatenate(out)
+            joined, skip = [], {j for _, j in merged}
+            for n, (a, b) in enumerate(spans):
+                if n in skip:
+                    joined[-1] = (joined[-1][0], b)
+                else:
+                    joined.append((a, b))
+            fresh = [raw[a:b] for a, b in joined if raw[a:b] not in known]
+            known |= self._windows(fresh)
+            spans = joined
+
     def encode_joined(self, texts: list[str | None]) -> list[str]:
         """The ids of every text, in decimal, joined by commas."""
         pieces = [self.split(t) if t else [] for t in texts]
@@ -163,14 +228,23 @@ class Codec:
         new.difference_update(self.cache)
         again = new & self.old.keys()
         self.cache.update((w, self.old[w]) for w in again)
-        self._learn(new - again)
-        get = self.cache.__getitem__
-        return [",".join(map(get, words)) for words in pieces]
+        new -= again
+        long = {w for w in new if len(w) > LONG // 4 and len(w.encode()) > LONG}
+        self._learn(new - long)
+        if not long:
+            return [",".join(map(self.cache.__getitem__, words)) for words in pieces]
+        found = {w: ",".join(map(str, self.encode_long(w.encode()).tolist())) for w in long}  # not kept
+        return [",".join([found[w] if w in found else self.cache[w] for w in words]) for words in pieces]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         return [parsed(x) for x in self.encode_joined(texts)]
 
     def decode(self, ids: list[list[int] | None]) -> list[bytes]:
+        if any(x is not None and len(x) > DECODE_TOKENS for x in ids):  # one text at a time, in parts
+            return [b"".join(self._decode([x[a : a + DECODE_TOKENS] for a in range(0, len(x), DECODE_TOKENS)])) if x is not None else b"" for x in ids]
+        return self._decode(ids)
+
+    def _decode(self, ids: list[list[int] | None]) -> list[bytes]:
         out, at, count = [b""] * len(ids), 0, [0 if x is None else len(x) for x in ids]
         while at < len(ids):
             end, size = at, 0

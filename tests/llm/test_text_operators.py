@@ -107,6 +107,26 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
         codec.decode([[10**6]])
 
 
+def test_bpe_of_very_long_words(monkeypatch):
+    """Windows joined where they share a token give what contracting the whole word gives, and what tiktoken gives."""
+    rnd = random.Random(6)
+    own = bpe.Codec(RANKS, PATTERN)
+    reference = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    million = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    (ids,) = own.encode([million])
+    assert ids.tolist() == reference.encode_ordinary(million) and own.decode([ids])[0] == million.encode()
+    (ids,) = own.encode(["a" * 1_000_000])
+    assert len(set(ids.tolist())) == 1 and own.decode([ids])[0] == b"a" * 1_000_000
+    monkeypatch.setattr(bpe, "LONG", 40)
+    monkeypatch.setattr(bpe, "WINDOW", 30)
+    monkeypatch.setattr(bpe, "OVERLAP", 12)
+    for n in range(150):
+        alphabet = ["abcdefghijklmnopqrstuvwxyz", "ab", "a", "théréo", "xyz東京é"][n % 5]
+        word = "".join(rnd.choices(alphabet, k=rnd.randint(1, 400))) + "ing" * rnd.randint(0, 30)
+        (ids,) = own.encode([word])
+        assert ids.tolist() == reference.encode_ordinary(word), word
+
+
 def test_bpe_frames(spark):
     df = documents(spark, ODD)
     got = bpe.digests(df, RANKS, PATTERN).collect()
