@@ -29,15 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_rows
+from .common import checkpoint, map_rows, narrowed, quoted, without
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Of the low bytes of HASHES minima, so many must agree before the full sets are compared.
 AGREE = int(0.66 * HASHES)
-#: Of the bitmaps that are broadcast: 2 MB.
-BITS = 1 << 24
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -91,24 +89,6 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return _mix((rows * _BAND[None, :]).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _POLY).view(np.int64)
 
 
-def narrowed(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """df without most rows whose column isn't in the one of wanted, before anything is shuffled; it loses none that is.
-
-    What is broadcast is a bitmap of the hashes of wanted: BITS bits in rows of 4 KB, however many rows wanted has."""
-    def at(c: str):
-        return F.pmod(F.xxhash64(c), F.lit(BITS))
-
-    rows = wanted.select(at(column).alias("_h")).select(F.expr("_h div 32768").alias("_row"), (F.col("_h") % 32768).alias("_bit"))
-    # numbers are shuffled, not a bitmap of every task
-    marks = rows.repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_map"))
-    bit = F.col("_h") % 32768
-    byte = F.conv(F.hex(F.substr("_map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("shiftright(_byte, CAST(_h % 8 AS INT)) & 1") == 1
-    row = F.struct(*df.columns).alias("_all")
-    out = df.select(row, at(column).alias("_h")).withColumn("_row", F.expr("_h div 32768")).join(F.broadcast(marks), "_row")
-    return out.withColumn("_byte", byte).where(hit).select("_all.*")
-
-
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
     import xxhash
 
@@ -266,9 +246,23 @@ def _next(fresh: DataFrame, n: int) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one document of every group, that of the smallest id; rows that share an id stay as one."""
-    found = groups(docs, key, text, **how)
-    gone = found.where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
-    kept = docs.join(gone, docs[key].cast("bigint") == gone["_gone"], "left_anti")
-    named = kept.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return named.unionByName(kept.where(F.col(key).isNull()))
+    """docs with one document of every group, that of the smallest id.
+
+    Rows that share an id and have the same words are copies, and one stays: the one of the least text, then of the least hash of
+    all its columns.  Rows of other texts under one id are one document of several texts and stay together, or go together.
+    Rows without an id stay.  No text is shuffled but those of rows that go, of rows that share an id, and of a few that a bitmap can't tell from them."""
+    found = checkpoint(groups(docs, key, text, **how).select(F.col(key).alias("id"), "kept"))
+    kept = without(docs, quoted(key).cast("bigint"), found.where("not kept and id is not null").select("id").distinct())
+    twice = checkpoint(found.where("kept and id is not null").groupBy("id").count().where("count > 1").select("id"))
+    if twice.isEmpty():
+        return kept
+    from pyspark.sql import Window
+
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    k, t = (names[docs.columns.index(x)] for x in (key, text))
+    rows = narrowed(docs.toDF(*names).withColumn("_id", F.col(k).cast("bigint")), "_id", twice).join(twice.toDF("_id"), "_id", "left_semi")
+    words = F.regexp_replace(F.translate(F.coalesce(F.col(t), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")
+    order = Window.partitionBy("_id", F.sha2(F.trim(words).cast("binary"), 256)).orderBy(t, F.xxhash64(*(c for c, (_, kind) in zip(names, docs.dtypes, strict=True) if "map<" not in kind)))
+    one = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*names).toDF(*docs.columns)
+    single = without(kept, quoted(key).cast("bigint"), twice)
+    return single.union(one)

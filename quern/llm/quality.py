@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 MAX_TRAIN, HELD_OUT, KEEP = 20_000, 5, 0.3
 TREES, DEPTH, RATE, BINS, LEAST_ROWS = 40, 3, 0.3, 48, 10
 
@@ -213,5 +215,5 @@ def scored(docs: DataFrame, model: Ensemble, keep: list[Column], text: str = "te
 
 def kept(docs: DataFrame, model: Ensemble, text: str = "text", least: float = KEEP) -> DataFrame:
     """docs without those that score below least."""
-    row = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
+    row = F.struct(*map(quoted, docs.columns)).alias("_row")
     return scored(docs, model, [row], text).where(F.col("score") >= least).select("_row.*")

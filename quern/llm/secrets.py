@@ -238,5 +238,4 @@ def redacted(docs: DataFrame, path: str, pattern: str, text: str = "text", known
 
         return work
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_rows(docs, make, schema, to_arrow_schema(docs.schema))
+    return map_rows(docs, make, docs.schema, to_arrow_schema(docs.schema))
