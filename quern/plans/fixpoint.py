@@ -9,17 +9,22 @@ The closure of one relation (p = e, p = p joined with e) doubles instead: new tu
 steps takes log2(n) rounds.  As a path is then derived once for each way to cut it, rounds whose
 new tuples are more than ``DOUBLING_ROWS`` go on one step at a time, which is right from any round on.
 
-A round costs several small jobs under AQE.  While all that it reads is known to be small it is planned without, as one job."""
+What the rules read beside their own predicates is written once, unless it is a mere scan.  A round is one job for each predicate, which
+also counts; those of one component run side by side.  Under AQE such a job becomes several; while all that it reads is known to be small
+it is planned without; threads of one session take turns there."""
 
 from __future__ import annotations
 
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import reduce
+from threading import RLock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from ..errors import RecursionLimit
+from ..errors import QuernError, RecursionLimit
 from ..lang.ast import ANON, Atom, Rule, Var
 from ..lang.passes import BUILTINS
 from ..lang.stratify import Key, key, uses
@@ -30,10 +35,13 @@ MAX_ROUNDS, COMPACT, DOUBLING_ROWS, SMALL_ROWS, SMALL_BYTES = 1_000_000, 6, 20_0
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that spark.checkpoint.dir names; make one only where none is set."""
+    """Use the folder that spark.checkpoint.dir names; make one only where none is set and all runs on this machine."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise QuernError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -41,6 +49,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint and its number of rows, from one job."""
+    seen = Observation()
+    out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, int(seen.get["n"])
+
+
+def all_counted(dfs: dict[Key, DataFrame]) -> dict[Key, tuple[DataFrame, int]]:
+    """Checkpoints and counts, the jobs side by side."""
+    if len(dfs) < 2:
+        return {k: counted(df) for k, df in dfs.items()}
+    with ThreadPoolExecutor(min(8, len(dfs))) as pool:
+        return dict(zip(dfs, pool.map(counted, dfs.values()), strict=True))
+
+
+def written(rel: Relation) -> Relation:
+    """The relation, written once if reading it is more than a scan of files or of a checkpoint."""
+    plan = rel.df._jdf.queryExecution().optimizedPlan().toString()
+    return Relation(checkpoint(rel.df), rel.types) if any(x in plan for x in ("Join", "Aggregate", "Window", "Generate", "Sort", "Distinct")) else rel
+
+
 def closure_of(k: Key, rules: list[Rule]) -> int | None:
     """The position of p in the step of p(X, Y) :- e(X, Y). p(X, Z) :- p(X, Y), e(Y, Z). (or e first), if that is all of p."""
     if k[1] != 2 or len(rules) != 2 or any(len(set(r.head.args)) != 2 or not all(isinstance(a, Var) for a in r.head.args) for r in rules):
@@ -54,21 +83,27 @@ def closure_of(k: Key, rules: list[Rule]) -> int | None:
     return at if joined and e.args == base.head.args and {key(x), key(y)} == {k, key(e)} and key(e) != k else None
 
 
+_PLANNING = RLock()
+
+
 @contextmanager
 def settings(spark: SparkSession, large: bool):
-    """Plan a round over few rows as one job with few partitions; if it may be large, all is left to AQE."""
+    """Plan a round over few rows as one job with few partitions; if it may be large, all is left to AQE.
+
+    One thread at a time changes the session, and puts back what it found."""
     if large:
         yield
         return
-    few = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))}
-    before = {k: spark.conf.get(k) for k in few}
-    try:
-        for k, v in few.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    with _PLANNING:
+        few = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))}
+        before = {k: spark.conf.get(k) for k in few}
+        try:
+            for k, v in few.items():
+                spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -82,8 +117,8 @@ class Blocks:
     When there are more than COMPACT, the newest are merged, back to one that is much larger than they are
     together; so a row is written again a logarithmic number of times only."""
 
-    def __init__(self, blocks: list[tuple[DataFrame, int]], types: tuple[str, ...]):
-        self.blocks, self.types = blocks, types
+    def __init__(self, blocks: list[tuple[DataFrame, int]], types: tuple[str, ...], nothing: DataFrame):
+        self.blocks, self.types, self.nothing = blocks, types, nothing
 
     @property
     def rows(self) -> int:
@@ -91,7 +126,7 @@ class Blocks:
 
     @property
     def relation(self) -> Relation:
-        return Relation(reduce(DataFrame.union, (df for df, _ in self.blocks)), self.types)
+        return Relation(reduce(DataFrame.union, (df for df, _ in self.blocks)) if self.blocks else self.nothing, self.types)
 
     def add(self, df: DataFrame, rows: int) -> None:
         self.blocks.append((df, rows))
@@ -100,8 +135,10 @@ class Blocks:
             while at and self.blocks[at - 1][1] <= 2 * sum(n for _, n in self.blocks[at:]):
                 at -= 1
             parts = self.blocks[at:]
+            # blocks that are partitioned alike are merged partition by partition, others by as many as the widest has
             widest = max(b.rdd.getNumPartitions() for b, _ in parts)
-            merged = checkpoint(reduce(DataFrame.union, (b for b, _ in parts)).coalesce(widest))
+            united = reduce(DataFrame.union, (b for b, _ in parts))
+            merged = checkpoint(united if united.rdd.getNumPartitions() <= widest else united.coalesce(widest))
             self.blocks = [*self.blocks[:at], (merged, sum(n for _, n in parts))]
 
 
@@ -110,6 +147,16 @@ def _squared(new: DataFrame, full: DataFrame) -> DataFrame:
     return new.toDF("c0", "via").join(full.toDF("via", "c1"), "via").select("c0", "c1")
 
 
+def _new(made: DataFrame, known: DataFrame, small: bool) -> DataFrame:
+    """The distinct tuples made that aren't known.
+
+    Small rounds group both by all columns: blocks keep the hash partitioning of the round that made them, so what is known isn't shuffled again."""
+    if not small:
+        return made.join(known, made.columns, "left_anti")
+    both = known.select("*", F.lit(False).alias("fresh")).union(made.select("*", F.lit(True).alias("fresh")))
+    return both.groupBy(*made.columns).agg(F.bool_and("fresh").alias("fresh")).where("fresh").select(*made.columns)
+
+
 def solve(
     part: list[Key], rules: list[Rule], spark: SparkSession, types: dict[Key, tuple[str, ...]], known: Lookup, base: dict[Key, Relation],
     limit: int = MAX_ROUNDS, strict: bool = False, seeds: dict[Key, DataFrame] | None = None,
@@ -118,6 +165,13 @@ def solve(
 
     base holds their facts, or, with seeds (new tuples of a run before), all that is known already."""
     inside = set(part)
+    outer, once = known, {}
+
+    def known(k: Key, i: int) -> Relation:
+        if k not in once:
+            once[k] = written(outer(k, i))
+        return once[k]
+
     own = {k: [r for r in rules if key(r.head) == k] for k in part}
 
     def variant(rule: Rule, at: int | None, delta: dict[Key, Relation], full: dict[Key, Relation]) -> DataFrame:
@@ -127,23 +181,23 @@ def solve(
         return compile_rule(rule, spark, types, lookup, first=at, strict=strict)
 
     state = {k: base.get(k) or empty(spark, types[k]) for k in part}
+    beside = [known(d, 0).df for d in {d for r in rules if key(r.head) in inside for d, _ in uses(r)} - inside if d not in BUILTINS]
+    wide = sum(map(estimated_bytes, beside)) > SMALL_BYTES
     if seeds is None:
-        first = {}
-        for k in part:
-            made = [variant(r, None, {}, state) for r in own[k]]
-            first[k] = checkpoint(reduce(DataFrame.union, [state[k].df, *made]).distinct())
-        counts = {k: first[k].count() for k in part}
-        full = {k: Blocks([(first[k], counts[k])], types[k]) for k in part}
+        start = [k for k in part if k in base or any(all(key(x) not in inside for x in r.body if isinstance(x, Atom)) for r in own[k])]
+        with settings(spark, wide):
+            done = all_counted({k: reduce(DataFrame.union, [state[k].df, *(variant(r, None, {}, state) for r in own[k])] if k in base else [variant(r, None, {}, state) for r in own[k]]).distinct() for k in start})
+        first = {k: done[k][0] if k in done else state[k].df for k in part}
+        counts = {k: done[k][1] if k in done else 0 for k in part}
+        full = {k: Blocks([(first[k], counts[k])] if k in done else [], types[k], state[k].df) for k in part}
         delta = {k: Relation(first[k], types[k]) for k in part}
     else:
         delta = {k: Relation(seeds.get(k, empty(spark, types[k]).df), types[k]) for k in part}
         counts = {k: delta[k].df.count() for k in part}
-        full = {k: Blocks([(state[k].df, state[k].df.count()), (delta[k].df, counts[k])], types[k]) for k in part}
+        full = {k: Blocks([(state[k].df, state[k].df.count()), (delta[k].df, counts[k])], types[k], state[k].df) for k in part}
     rounds, doubled = 0, None
     if len(part) == 1 and seeds is None and part[0] not in base:
         doubled = closure_of(part[0], own[part[0]])
-    beside = [known(d, 0).df for d in {d for r in rules if key(r.head) in inside for d, _ in uses(r)} - inside if d not in BUILTINS]
-    wide = sum(map(estimated_bytes, beside)) > SMALL_BYTES
     live = {k for k in part if counts[k]}
     while live:
         rounds += 1
@@ -153,7 +207,8 @@ def solve(
         fresh: dict[Key, DataFrame] = {}
         if doubled is not None and counts[part[0]] > DOUBLING_ROWS:
             doubled = None
-        with settings(spark, wide or sum(f.rows for f in full.values()) > SMALL_ROWS):
+        small = not wide and sum(f.rows for f in full.values()) <= SMALL_ROWS
+        with settings(spark, not small):
             for k in part:
                 if doubled is not None:
                     made = [_squared(delta[k].df, now[k].df)]
@@ -161,8 +216,9 @@ def solve(
                     made = [variant(r, at, delta, now) for r in own[k] for at, x in enumerate(r.body) if isinstance(x, Atom) and key(x) in live]
                 if made:
                     new = reduce(DataFrame.union, made).distinct()
-                    fresh[k] = checkpoint(new.join(now[k].df, new.columns, "left_anti"))
-            counts = {k: fresh[k].count() for k in fresh}
+                    fresh[k] = _new(new, now[k].df, small) if full[k].blocks else new
+            done = all_counted(fresh)
+            fresh, counts = {k: df for k, (df, _) in done.items()}, {k: n for k, (_, n) in done.items()}
             delta = {k: Relation(fresh[k], types[k]) if k in fresh else empty(spark, types[k]) for k in part}
             live = {k for k in fresh if counts[k]}
             for k in live:
