@@ -28,6 +28,7 @@ class Options:
     strict: bool = False  # aggregates take u32 and u64 only
     max_rounds: int = fixpoint.MAX_ROUNDS
     magic_sets: str | None = None  # over the program's pragma: off, on, auto
+    promote: bool = True  # cyclic bodies by candidates of the shortest list instead of one join after another
     masks: dict[str, bool] = field(default_factory=dict)  # learnable rules: on where true
 
 
@@ -167,7 +168,7 @@ class Engine:
             return Component(part, True, rounds)
         k = part[0]
         scans = sum(compiled.scans.get(d, 1) for r in compiled.rules if key(r.head) == k for d, _ in uses(r))
-        made = [compile_rule(r, self.spark, types, find, strict=self.options.strict) for r in compiled.rules if key(r.head) == k]
+        made = [compile_rule(r, self.spark, types, find, strict=self.options.strict, promote=self.options.promote) for r in compiled.rules if key(r.head) == k]
         parts = [known[k].df, *made] if k in known else made
         df = reduce(DataFrame.union, parts).distinct()
         if scans > SCANS and compiled.reads[k] > 1:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.relation import checkpoint, counted, hashed
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b) with a < b, each once, without loops."""
@@ -16,13 +18,13 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
 
 
-def oriented(edges: DataFrame) -> DataFrame:
-    """(s, t): each undirected edge from lower to higher (degree, id)."""
-    e = undirected(edges)
+def oriented(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(s, t), and how many: each undirected edge from lower to higher (degree, id); written, as it is read for every vertex of a clique."""
+    e = checkpoint(undirected(edges))
     degree = e.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
     both = e.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
     first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    return both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("t"))
+    return counted(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("t")))
 
 
 def cliques(edges: DataFrame, k: int) -> DataFrame:
@@ -31,12 +33,12 @@ def cliques(edges: DataFrame, k: int) -> DataFrame:
     Grown one vertex at a time along the orientation, each new vertex checked against all earlier ones by semi-joins."""
     if not 3 <= k <= 8:
         raise ValueError("k is 3 to 8")
-    o = oriented(edges)
+    o, n_edges = oriented(edges)
     part = o.select(F.col("s").alias("x0"), F.col("t").alias("x1"))
     for n in range(2, k):
         part = part.join(o.toDF(f"x{n - 1}", f"x{n}"), f"x{n - 1}")
         for i in range(n - 1):
-            part = part.join(o.toDF(f"x{i}", f"x{n}"), [f"x{i}", f"x{n}"], "left_semi")
+            part = part.join(hashed(o.toDF(f"x{i}", f"x{n}"), n_edges), [f"x{i}", f"x{n}"], "left_semi")
     ordered = F.array_sort(F.array(*(f"x{i}" for i in range(k))))
     return part.select(*(ordered[i].alias(f"v{i}") for i in range(k)))
 

@@ -15,47 +15,24 @@ it is planned without; threads of one session take turns there."""
 
 from __future__ import annotations
 
-import tempfile
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import reduce
 from threading import RLock
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import QuernError, RecursionLimit
+from ..errors import RecursionLimit
 from ..lang.ast import ANON, Atom, Rule, Var
 from ..lang.passes import BUILTINS
 from ..lang.stratify import Key, key, uses
-from .relation import Relation, empty
+from .relation import Relation, checkpoint, counted, empty, ensure_checkpoint_dir, estimated_bytes, written
 from .rules import Lookup, compile_rule
 
 MAX_ROUNDS, COMPACT, DOUBLING_ROWS, SMALL_ROWS, SMALL_BYTES = 1_000_000, 6, 20_000_000, 1_000_000, 1 << 27
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that spark.checkpoint.dir names; make one only where none is set and all runs on this machine."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local"):
-            raise QuernError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """A checkpoint and its number of rows, from one job."""
-    seen = Observation()
-    out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return out, int(seen.get["n"])
-
-
 def all_counted(dfs: dict[Key, DataFrame]) -> dict[Key, tuple[DataFrame, int]]:
     """Checkpoints and counts, the jobs side by side."""
     if len(dfs) < 2:
@@ -64,12 +41,6 @@ def all_counted(dfs: dict[Key, DataFrame]) -> dict[Key, tuple[DataFrame, int]]:
         return dict(zip(dfs, pool.map(counted, dfs.values()), strict=True))
 
 
-def written(rel: Relation) -> Relation:
-    """The relation, written once if reading it is more than a scan of files or of a checkpoint."""
-    plan = rel.df._jdf.queryExecution().optimizedPlan().toString()
-    return Relation(checkpoint(rel.df), rel.types) if any(x in plan for x in ("Join", "Aggregate", "Window", "Generate", "Sort", "Distinct")) else rel
-
-
 def closure_of(k: Key, rules: list[Rule]) -> int | None:
     """The position of p in the step of p(X, Y) :- e(X, Y). p(X, Z) :- p(X, Y), e(Y, Z). (or e first), if that is all of p."""
     if k[1] != 2 or len(rules) != 2 or any(len(set(r.head.args)) != 2 or not all(isinstance(a, Var) for a in r.head.args) for r in rules):
@@ -106,11 +77,6 @@ def settings(spark: SparkSession, large: bool):
                 spark.conf.set(k, v)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate, which errs upwards where joins are below."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 class Blocks:
     """What is known of a predicate: disjoint checkpointed blocks, and how many rows they have.
 
@@ -224,3 +190,6 @@ def solve(
             for k in live:
                 full[k].add(fresh[k], counts[k])
     return {k: full[k].relation for k in part}, rounds
+
+
+__all__ = ["MAX_ROUNDS", "checkpoint", "ensure_checkpoint_dir", "solve"]

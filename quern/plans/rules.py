@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..lang.ast import ANON, Aggregate, Atom, Cmp, Compound, Cons, Const, Is, Li
 from ..lang.passes import BUILTINS
 from ..lang.stratify import Key, key
 from ..operators import relational
-from .relation import UNIT, Relation, names
+from .relation import UNIT, Relation, hashed, names, written
 from .schema import aggregate_type, check_aggregate
 
 #: (predicate, position of the literal in the body) -> relation
@@ -111,6 +112,51 @@ class Body:
             self.bind(t, F.col(column), kind)
             self.df = self.df.drop(column)
 
+    # ---- cyclic bodies
+    def edges(self, atom: Atom, at: int) -> tuple[DataFrame, dict[str, str]]:
+        """A relation of two variables as a set of rows that is read several times."""
+        right, kinds, _ = self._select(atom, at)
+        for v, t in kinds.items():
+            if v in self.kinds and family(self.kinds[v]) != family(t):
+                raise TypeMismatch(f"{v} is {self.kinds[v]} and {t}")
+        return right, kinds
+
+    def close(self, var: str, atoms: list[tuple[int, Atom]]) -> None:
+        """Bind a variable that several relations restrict: each row takes candidates from that which has fewest for it, and the
+        others check them.  So no more candidates are made than the shortest list has, however long the hubs' are."""
+        rows, sides = self.rows, []
+        for n, (at, atom) in enumerate(atoms):
+            right, kinds = self.edges(atom, at)
+            known = next(f"v_{x}" for x in kinds if x != var)
+            sides.append((right, known, self.lookup(key(atom), at).rows))
+            self.kinds.setdefault(var, kinds[var])
+            rows = rows.join(right.groupBy(known).agg(F.count(F.lit(1)).alias(f"__d{n}")), known)
+        counts = [f"__d{n}" for n in range(len(sides))]
+        least = F.least(*counts)
+        chosen = F.coalesce(*(F.when(F.col(c) == least, n) for n, c in enumerate(counts)))
+        rows = rows.withColumn("__side", chosen).drop(*counts)
+        parts = []
+        for n, (right, known, _) in enumerate(sides):
+            part = rows.where(F.col("__side") == n).drop("__side").join(right, known)
+            for m, (other, end, size) in enumerate(sides):
+                if m != n:
+                    part = part.join(hashed(other, size), [end, f"v_{var}"], "left_semi")
+            parts.append(part.select(*(f"v_{v}" for v in self.kinds)))
+        self.df = reduce(DataFrame.union, parts)
+
+    def square(self, halves: list[list[tuple[int, Atom]]]) -> None:
+        """A cycle of four relations: the paths over two corners meet on both ends."""
+        for n, half in enumerate(halves):
+            body = self if not n else Body(self.spark, self.types, self.lookup)
+            for at, atom in half:
+                body.join(atom, at)
+            if n:
+                for v, t in body.kinds.items():
+                    if v in self.kinds and family(self.kinds[v]) != family(t):
+                        raise TypeMismatch(f"{v} is {self.kinds[v]} and {t}")
+                self.df = relational.join(self.df, body.df, [f"v_{v}" for v in body.kinds if v in self.kinds])
+                self.kinds |= {v: t for v, t in body.kinds.items() if v not in self.kinds}
+
     def negate(self, atom: Atom, at: int) -> None:
         right, kinds, later = self._select(atom, at)
         if later:
@@ -258,9 +304,57 @@ def _needs(x, body: Body, types) -> list[str] | None:
     return None
 
 
-def compile_body(rule: Rule, spark: SparkSession, types: dict[Key, tuple[str, ...]], lookup: Lookup, first: int | None = None) -> Body:
+def _edge(x) -> tuple[str, str] | None:
+    """The two variables of an atom that has no others, no wildcard (which would multiply rows) and no inner terms."""
+    if not isinstance(x, Atom) or not all(isinstance(a, (Var, Const)) for a in x.args):
+        return None
+    vs = [a.name for a in x.args if isinstance(a, Var)]
+    return (vs[0], vs[1]) if len(vs) == 2 and vs[0] != vs[1] and ANON not in vs else None
+
+
+def closing(atoms: list[tuple[int, Atom]], bound: set[str]) -> tuple[str, list[tuple[int, Atom]]] | None:
+    """The unbound variable that most atoms tie to bound ones, if several do, and those atoms."""
+    ties: dict[str, list[tuple[int, Atom]]] = {}
+    for at, x in atoms:
+        if e := _edge(x):
+            for v, u in (e, e[::-1]):
+                if v not in bound and u in bound:
+                    ties.setdefault(v, []).append((at, x))
+    best = max(ties.items(), key=lambda t: len(t[1]), default=None)
+    return best if best and len(best[1]) > 1 else None
+
+
+def four_cycle(atoms: list[tuple[int, Atom]]) -> list[list[tuple[int, Atom]]] | None:
+    """Two paths of two atoms each that make a cycle over four variables, if the atoms are just that."""
+    found = [(_edge(x), at, x) for at, x in atoms]
+    if len(found) != 4 or any(e is None for e, _, _ in found):
+        return None
+    first, *rest = found
+    if any(sum(v in e for e, _, _ in found) != 2 for e, _, _ in found for v in e) or len({v for e, _, _ in found for v in e}) != 4:
+        return None
+    beside = next((f for f in rest if first[0][1] in f[0]), None)
+    others = [f for f in rest if f is not beside]
+    return [[f[1:] for f in (first, beside)], [f[1:] for f in others]] if beside and set(others[0][0]) & set(others[1][0]) and set(first[0]) != set(beside[0]) else None
+
+
+def compile_body(rule: Rule, spark: SparkSession, types: dict[Key, tuple[str, ...]], lookup: Lookup, first: int | None = None, promote: bool = False) -> Body:
     """Join the atoms so that each shares a variable with those before if one does (``first`` starts), and run
-    every other literal as soon as its variables are bound; negations that share none come last."""
+    every other literal as soon as its variables are bound; negations that share none come last.
+
+    With promote, a variable that several atoms of two variables tie to bound ones (triangles, cliques, any cyclic body) is bound by
+    all of them at once, and a cycle of four is joined as two paths.  Relations that this reads often are written before."""
+    if promote and any(key(x) not in BUILTINS for x in rule.body if isinstance(x, Atom)):
+        atoms = [(at, x) for at, x in enumerate(rule.body) if isinstance(x, Atom) and not _is_builtin(x, types)]
+        cyclic = _cyclic([e for _, x in atoms if (e := _edge(x))])
+        if cyclic:
+            plain, once = lookup, {}
+
+            def lookup(k: Key, at: int) -> Relation:
+                if k not in once:
+                    once[k] = written(plain(k, at))
+                return once[k]
+
+        promote = cyclic
     body = Body(spark, types, lookup)
     left = list(enumerate(rule.body))
     static = ("ground", "var", "nonvar")
@@ -299,6 +393,15 @@ def compile_body(rule: Rule, spark: SparkSession, types: dict[Key, tuple[str, ..
         atoms = [(at, x) for at, x in left if isinstance(x, Atom) and not _is_builtin(x, types)]
         if not atoms:
             raise CompileError(f"in {rule}: {left[0][1]} has unbound variables")
+        if promote and (tied := closing(atoms, set(body.kinds))):
+            for entry in tied[1]:
+                left.remove(entry)
+            body.close(*tied)
+            continue
+        if promote and not body.kinds and (halves := four_cycle(atoms)):
+            left = [entry for entry in left if not any(entry is x or entry == x for half in halves for x in half)]
+            body.square(halves)
+            continue
         if first is not None and any(at == first for at, _ in atoms):
             at, x = next((at, x) for at, x in atoms if at == first)
         else:
@@ -312,6 +415,23 @@ def compile_body(rule: Rule, spark: SparkSession, types: dict[Key, tuple[str, ..
     return body
 
 
+def _cyclic(edges: list[tuple[str, str]]) -> bool:
+    """Whether edges between variables close a cycle of three or more."""
+    parent: dict[str, str] = {}
+
+    def root(v: str) -> str:
+        while parent.get(v, v) != v:
+            v = parent[v]
+        return v
+
+    for a, b in {tuple(sorted(e)) for e in edges}:
+        ra, rb = root(a), root(b)
+        if ra == rb:
+            return True
+        parent[ra] = rb
+    return False
+
+
 def head_columns(rule: Rule, body: Body, types: tuple[str, ...]) -> list[Column]:
     out = []
     for i, (a, t) in enumerate(zip(rule.head.args, types, strict=True)):
@@ -322,9 +442,9 @@ def head_columns(rule: Rule, body: Body, types: tuple[str, ...]) -> list[Column]
     return out or [F.lit(1).alias(UNIT)]
 
 
-def compile_rule(rule: Rule, spark: SparkSession, types: dict[Key, tuple[str, ...]], lookup: Lookup, first: int | None = None, strict: bool = False) -> DataFrame:
+def compile_rule(rule: Rule, spark: SparkSession, types: dict[Key, tuple[str, ...]], lookup: Lookup, first: int | None = None, strict: bool = False, promote: bool = False) -> DataFrame:
     """The head's rows; a bag, the caller makes it a set."""
-    body = compile_body(rule, spark, types, lookup, first)
+    body = compile_body(rule, spark, types, lookup, first, promote)
     kinds = types[key(rule.head)]
     if not rule.aggregates:
         return body.rows.select(*head_columns(rule, body, kinds))
