@@ -17,6 +17,7 @@ from ..errors import RecursionLimit, StratificationError, UnsupportedEpistemicCo
 from ..lang.ast import Atom, Modal, Not, Program, Rule, Var, literal_vars, term_vars
 from ..lang.parser import parse
 from ..lang.stratify import Key, components, dependencies, key, order
+from ..plans.relation import checkpoint
 from ..prob.diagram import Diagrams
 from ..prob.evaluate import Evaluator, choice_facts, constant
 
@@ -149,13 +150,16 @@ def well_founded(engine: Engine, p: Program, inputs: dict[str, DataFrame], limit
     def step(before: dict[Key, DataFrame]) -> Result:
         return engine.run(frozen, inputs | {_FROZEN + n: df for (n, _), df in before.items()}, check=False)
 
+    # bounds are cut from their lineage, or plans would grow with every step
+    inputs = {n: checkpoint(df) for n, df in inputs.items()}
     low: dict[Key, DataFrame] = {}
     for _ in range(limit):
-        high = step(low)
-        new = step({k: high.relation(*k) for k in cyclic})
-        now = {k: new.relation(*k) for k in cyclic}
+        above = step(low)
+        high = {k: checkpoint(above.relation(*k)) for k in cyclic}
+        new = step(high)
+        now = {k: checkpoint(new.relation(*k)) for k in cyclic}
         if low and all(_equal(now[k], low[k]) for k in cyclic):
-            return engine.run(frozen, inputs | {_FROZEN + n: high.relation(n, a) for n, a in cyclic})
+            return engine.run(frozen, inputs | {_FROZEN + n: high[n, a] for n, a in cyclic})
         low = now
     raise RecursionLimit(f"the alternating fixpoint took more than {limit} rounds")
 
