@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import held, map_rows
 
-CHUNK_BYTES, CACHE_WORDS, DECODE_TOKENS, SLICE = 400_000, 400_000, 400_000, 600
+CHUNK_BYTES, CACHE_WORDS, DECODE_TOKENS, SLICE = 250_000, 200_000, 250_000, 600
 #: Words of up to so many bytes are contracted one pair a step, which needs fewer operations a step.
 SHORT = 48
 LONG, WINDOW, OVERLAP = 2000, 320, 96
@@ -97,7 +97,7 @@ class Codec:
 
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "160MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "128MB", "temp_directory": ""})
         left, right, token, unsafe = [], [], [], set()
         for piece, rank in self.ranks.items():
             for i in range(1, len(piece)):
