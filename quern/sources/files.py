@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -11,12 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 UNSPECIFIED = "unspecified"
+ARROW = (".arrow", ".arrows", ".ipc")
 
 
 def read_relation(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A relation from a file or folder, by its ending: .parquet, .csv (with header), .json / .jsonl, .orc, .arrow / .arrows / .ipc."""
     end = Path(path.rstrip("/")).suffix.lower()
-    if end in (".arrow", ".arrows", ".ipc"):
+    if end in ARROW:
         return read_arrow(spark, path)
     reader = spark.read.schema(schema) if schema else spark.read
     if end == ".csv":
@@ -26,9 +29,18 @@ def read_relation(spark: SparkSession, path: str, schema: str | None = None) ->
     return reader.orc(path) if end == ".orc" else reader.parquet(path)
 
 
+def local(path: str) -> str:
+    """The path on this machine that a file: URI names, made absolute, as executors have working folders of their own."""
+    scheme = urlsplit(path).scheme
+    if scheme not in ("", "file"):
+        raise ValueError(f"{path}: Arrow files are read and written in folders that all executors see as local ones, not at {scheme}:")
+    return os.path.abspath(unquote(urlsplit(path).path) if scheme else path)
+
+
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
     """Arrow IPC, stream or file format.  The files are read on the executors, a batch at a time; the driver sees the schema only."""
-    files = sorted(str(p) for p in Path(path).iterdir() if p.is_file()) if Path(path).is_dir() else [path]
+    path = local(path)
+    files = sorted(str(p) for p in Path(path).iterdir() if p.suffix in ARROW) if Path(path).is_dir() else [path]
     with _open_arrow(files[0]) as first:
         schema = first.schema
 
@@ -63,7 +75,8 @@ def to_arrow(df: DataFrame) -> pa.Table:
 
 
 def write_arrow(df: DataFrame, folder: str) -> None:
-    """One Arrow IPC stream file for each partition, written where the partition is."""
+    """One Arrow IPC stream file for each partition, written where the partition is; one file at least, which tells the schema."""
+    folder = local(folder)
     Path(folder).mkdir(parents=True, exist_ok=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +95,15 @@ def write_arrow(df: DataFrame, folder: str) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     df.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    if not any(p.suffix in ARROW for p in Path(folder).iterdir()):
+        schema = df.limit(0).toArrow().schema
+        pa.ipc.new_stream(str(Path(folder, "part-00000.arrows")), schema).close()
 
 
 def write_relation(df: DataFrame, path: str, mode: str = "error") -> None:
     """Write by ending: .csv, .json, .orc, .arrows or Parquet."""
     end = Path(path.rstrip("/")).suffix.lower()
-    if end in (".arrow", ".arrows", ".ipc"):
+    if end in ARROW:
         return write_arrow(df, path)
     writer = df.write.mode(mode)
     if end == ".csv":

@@ -9,6 +9,8 @@ from quern import epistemic
 from quern.engine import Engine, Options
 from quern.operators import candidates, multiway
 from quern.plans import rules
+from quern.queries import QUERIES
+from quern.sources import files
 
 
 @pytest.fixture
@@ -84,3 +86,24 @@ def test_answers_are_sets_without_shuffling_them(spark):
         assert plan.splitlines()[0].lstrip().startswith(("Project", "Join")) == (aggregates == 0)
     out = Engine(spark).run("pred t(i32). t(X) :- s(X, _), s(X, 5). ?- t(X).", {"s": twice}).queries[0].collect()
     assert sorted(map(tuple, out)) == [(1,), (2,)]
+
+
+def test_arrow_files_by_uri(spark, tmp_path):
+    """A URI names the same folder for executors that work elsewhere; drafts of tasks that failed aren't read; no rows keep their schema."""
+    df = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    files.write_relation(df, f"file://{tmp_path}/a%20u.arrows")
+    assert (tmp_path / "a u.arrows").is_dir() and sorted(map(tuple, files.read_relation(spark, f"file:{tmp_path}/a%20u.arrows").collect())) == [(1, 2), (3, 4)]
+    (tmp_path / "a u.arrows" / "part-00009.attempt0").write_bytes(b"a broken draft")
+    assert files.read_relation(spark, str(tmp_path / "a u.arrows")).count() == 2
+    files.write_relation(df.limit(0), str(tmp_path / "none.arrows"))
+    none = files.read_relation(spark, str(tmp_path / "none.arrows"))
+    assert none.dtypes == df.dtypes and not none.collect()
+    with pytest.raises(ValueError):
+        files.write_relation(df, "hdfs://host/x.arrows")
+
+
+def test_negative_zero_is_no_negative_balance(spark, tmp_path):
+    rows = [(1, -0.0), (2, 0.0), (3, -0.01), (4, 500.0), (5, 500.01), (6, float("nan"))]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    out = QUERIES["float_total_order"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, out)) == [(1, "poor"), (2, "poor"), (3, "neg"), (4, "poor")]
