@@ -20,9 +20,11 @@ from ..lang.stratify import Key, components, dependencies, key, order
 from ..plans.relation import checkpoint
 from ..prob.diagram import Diagrams
 from ..prob.evaluate import Evaluator, choice_facts, constant
+from . import game
 
 MAX_MODELS = 1024
 _FROZEN = "__before_"
+_MOVE, _SURE = "__game_move", "__game_sure"
 
 
 def _ordinary(x):
@@ -131,7 +133,9 @@ def _founded(engine: Engine, p: Program, inputs: dict[str, DataFrame], limit: in
 
 
 def well_founded(engine: Engine, p: Program, inputs: dict[str, DataFrame], limit: int = 1000) -> Result:
-    """The lower bound of the alternating fixpoint: negated literals of cyclic predicates read frozen relations."""
+    """The lower bound of the alternating fixpoint: negated literals of cyclic predicates read frozen relations.
+
+    A step settles one move of a game; programs that are games are solved by ``game`` in steps that double instead."""
     deps = dependencies(p.rules)
     cyclic: set[Key] = set()
     for part in components({k: [d for d, _ in v] for k, v in deps.items()}):
@@ -142,6 +146,7 @@ def well_founded(engine: Engine, p: Program, inputs: dict[str, DataFrame], limit
         raise StratificationError("aggregation within a cycle")
     frozen = p.copy()
     frozen.rules = []
+    moves = _game(p, cyclic, inputs)
     for r in p.rules:
         body = tuple(Not(Atom(_FROZEN + x.atom.name, x.atom.args)) if isinstance(x, Not) and key(x.atom) in cyclic and key(r.head) in cyclic else x for x in r.body)
         frozen.rules.append(Rule(r.head, body, r.mask))
@@ -150,6 +155,11 @@ def well_founded(engine: Engine, p: Program, inputs: dict[str, DataFrame], limit
     def step(before: dict[Key, DataFrame]) -> Result:
         return engine.run(frozen, inputs | {_FROZEN + n: df for (n, _), df in before.items()}, check=False)
 
+    if moves:
+        (k,) = cyclic
+        given = engine.run(moves, inputs, check=False)
+        sure = given.relation(_SURE, 1) if any(r.head.name == _SURE for r in moves.rules) or (_SURE, 1) in moves.facts else None
+        return engine.run(frozen, inputs | {_FROZEN + k[0]: game.not_lost(given.relation(_MOVE, 2), sure)})
     # bounds are cut from their lineage, or plans would grow with every step
     inputs = {n: checkpoint(df) for n, df in inputs.items()}
     low: dict[Key, DataFrame] = {}
@@ -164,6 +174,32 @@ def well_founded(engine: Engine, p: Program, inputs: dict[str, DataFrame], limit
     raise RecursionLimit(f"the alternating fixpoint took more than {limit} rounds")
 
 
+def _game(p: Program, cyclic: set[Key], inputs: dict[str, DataFrame]) -> Program | None:
+    """The moves of a program whose cycles are those of a game, w(X) :- ..., not w(Y), with one predicate of one argument and at most one such literal in each rule."""
+    if len(cyclic) != 1 or next(iter(cyclic))[1] != 1 or next(iter(cyclic))[0] in inputs:
+        return None
+    (k,) = cyclic
+    out = p.copy()
+    out.rules, out.queries, out.constraints = [], [], []
+    deps = {h: {d for d, _ in v} for h, v in dependencies(p.rules).items()}
+    above = {k}
+    while more := {h for h, ds in deps.items() if h not in above and ds & above}:
+        above |= more
+    for r in p.rules:
+        if key(r.head) not in above:
+            out.rules.append(r)
+        elif key(r.head) == k:
+            against = [x for x in r.body if isinstance(x, Not) and key(x.atom) == k]
+            rest = tuple(x for x in r.body if x not in against)
+            if len(against) > 1 or any(isinstance(x, Atom) and key(x) in above or isinstance(x, Not) and key(x.atom) in above for x in rest):
+                return None
+            out.rules.append(Rule(Atom(_MOVE, (*r.head.args, *against[0].atom.args)) if against else Atom(_SURE, r.head.args), rest, r.mask))
+    if k in out.facts:
+        out.facts[_SURE, 1] = out.facts.pop(k)
+    out.declarations = {n: ds for n, ds in p.declarations.items() if n != k[0]}
+    return out
+
+
 def _declare(engine: Engine, p: Program, frozen: Program, inputs: dict[str, DataFrame], keys: set[Key]) -> None:
     """Frozen relations have the types of those they copy, also before there is a copy."""
     lenient = p.copy()

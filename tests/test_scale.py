@@ -107,3 +107,27 @@ def test_negative_zero_is_no_negative_balance(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     out = QUERIES["float_total_order"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, out)) == [(1, "poor"), (2, "poor"), (3, "neg"), (4, "poor")]
+
+
+def test_games_equal_the_alternating_fixpoint(spark, monkeypatch):
+    rnd = random.Random(8)
+    text = "w(X) :- m(X, Y), not know w(Y). w(X) :- s(X). l(X) :- m(_, X), not w(X). ?- w(X). ?- l(X)."
+    for n, edges in ((8, 9), (12, 15), (30, 30), (16, 40)):
+        m = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(edges)} | {(n + i, n + i + 1) for i in range(5)} | {(n + 5, 0)}
+        inputs = {"m": spark.createDataFrame(sorted(m), "a long, b long"), "s": spark.createDataFrame([(n - 1,)], "a long")}
+        got = [sorted(map(tuple, q.collect())) for q in epistemic.run(spark, text, inputs).queries]
+        low: set = set()
+        while True:  # the alternating fixpoint by hand
+            high = {x for x, y in m if y not in low} | {n - 1}
+            now = {x for x, y in m if y not in high} | {n - 1}
+            if now == low:
+                break
+            low = now
+        assert got[0] == sorted((x,) for x in low)
+
+
+def test_long_games_end(spark):
+    """A chain of 4,000 moves and a circle: the alternating fixpoint would take 2,000 steps."""
+    moves = spark.range(4000).selectExpr("id as a", "id + 1 as b").unionAll(spark.createDataFrame([(9000, 9001), (9001, 9000), (9002, 9000)], "a long, b long"))
+    won = epistemic.run(spark, "w(X) :- m(X, Y), not know w(Y). ?- w(X).", {"m": moves}).queries[0]
+    assert sorted(r[0] for r in won.collect()) == list(range(1, 4000, 2))
