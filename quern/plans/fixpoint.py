@@ -5,7 +5,7 @@ round's new tuples there and everything known elsewhere; what is new is kept, un
 are cut from their lineage by reliable checkpoints, so plans stay small and a lost executor costs
 nothing; what is known is a union of blocks, merged as they grow.
 
-The closure of one relation (p = e, p = p joined with e) doubles instead: new tuples join all that is known, so a path of n
+The closure of one relation (p = e, p = p joined with e or with p) doubles instead: new tuples join all that is known, so a path of n
 steps takes log2(n) rounds.  As a path is then derived once for each way to cut it, rounds whose
 new tuples are more than ``DOUBLING_ROWS`` go on one step at a time, which is right from any round on.
 
@@ -54,6 +54,17 @@ def closure_of(k: Key, rules: list[Rule]) -> int | None:
     return at if joined and e.args == base.head.args and {key(x), key(y)} == {k, key(e)} and key(e) != k else None
 
 
+def linear(k: Key, rules: list[Rule]) -> list[Rule]:
+    """p(X, Z) :- p(X, Y), p(Y, Z). beside p(X, Y) :- e(X, Y). means the same with e for the second p."""
+    if len(rules) != 2 or any(r.aggregates for r in rules):
+        return rules
+    base, step = sorted(rules, key=lambda r: len(r.body))
+    if len(base.body) != 1 or len(step.body) != 2 or not all(isinstance(x, Atom) for x in (*base.body, *step.body)) or any(key(x) != k for x in step.body):
+        return rules
+    new = Rule(step.head, (step.body[0], Atom(base.body[0].name, step.body[1].args)), step.mask)
+    return [base, new] if closure_of(k, [base, new]) is not None else rules
+
+
 _PLANNING = RLock()
 
 
@@ -139,6 +150,9 @@ def solve(
         return once[k]
 
     own = {k: [r for r in rules if key(r.head) == k] for k in part}
+    if len(part) == 1 and seeds is None and part[0] not in base:
+        own = {k: linear(k, rs) for k, rs in own.items()}
+    rules = [r for rs in own.values() for r in rs]
 
     def variant(rule: Rule, at: int | None, delta: dict[Key, Relation], full: dict[Key, Relation]) -> DataFrame:
         def lookup(k: Key, i: int) -> Relation:

@@ -8,7 +8,7 @@ import pytest
 from quern import epistemic
 from quern.engine import Engine, Options
 from quern.operators import candidates, multiway
-from quern.plans import rules
+from quern.plans import fixpoint, rules
 from quern.queries import QUERIES
 from quern.sources import files
 
@@ -131,3 +131,19 @@ def test_long_games_end(spark):
     moves = spark.range(4000).selectExpr("id as a", "id + 1 as b").unionAll(spark.createDataFrame([(9000, 9001), (9001, 9000), (9002, 9000)], "a long, b long"))
     won = epistemic.run(spark, "w(X) :- m(X, Y), not know w(Y). ?- w(X).", {"m": moves}).queries[0]
     assert sorted(r[0] for r in won.collect()) == list(range(1, 4000, 2))
+
+
+def test_nonlinear_closure_runs_as_the_linear_one(spark):
+    rnd = random.Random(4)
+    text = "p(X, Y) :- e(X, Y). p(X, Z) :- p(X, Y), p(Y, Z). ?- p(X, Y)."
+    compiled = Engine(spark).compile(text, {"e": spark.createDataFrame([(1, 2)], "a long, b long")})
+    own = [r for r in compiled.rules if r.head.name == "p"]
+    assert fixpoint.closure_of(("p", 2), own) is None and fixpoint.closure_of(("p", 2), fixpoint.linear(("p", 2), own)) is not None
+    edges = {(rnd.randrange(14), rnd.randrange(14)) for _ in range(18)}
+    want = set(edges)
+    while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
+        want |= more
+    got = [tuple(r) for r in Engine(spark).run(text, {"e": spark.createDataFrame(sorted(edges), "a long, b long")}).queries[0].collect()]
+    assert set(got) == want and len(got) == len(want)
+    kept = Engine(spark).run(text + " p(90, 91). p(91, 92).", {"e": spark.createDataFrame([(1, 2)], "a long, b long")}).queries[0]
+    assert {tuple(r) for r in kept.collect()} == {(1, 2), (90, 91), (91, 92), (90, 92)}
