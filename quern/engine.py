@@ -130,7 +130,8 @@ class Engine:
             if k in compiled.program.facts:
                 parts.append(facts_frame(self.spark, compiled.program.facts[k], t))
             if parts:
-                out[k] = Relation(reduce(DataFrame.union, parts).distinct(), t)
+                bag = reduce(DataFrame.union, parts)
+                out[k] = Relation(bag.distinct(), t, bag=bag)
         for n, df in inputs.items():
             if (n, arity(df)) not in compiled.types:
                 out[n, arity(df)] = given(df)

@@ -5,6 +5,8 @@ round's new tuples there and everything known elsewhere; what is new is kept, un
 are cut from their lineage by reliable checkpoints, so plans stay small and a lost executor costs
 nothing; what is known is a union of blocks, merged as they grow.
 
+Components along paths are walked in one job where edges form small connected parts (``paths``); the rest is for what follows of them.
+
 The closure of one relation (p = e, p = p joined with e or with p) doubles instead: new tuples join all that is known, so a path of n
 steps takes log2(n) rounds.  As a path is then derived once for each way to cut it, rounds whose
 new tuples are more than ``DOUBLING_ROWS`` go on one step at a time, which is right from any round on.
@@ -27,6 +29,7 @@ from ..errors import RecursionLimit
 from ..lang.ast import ANON, Atom, Rule, Var
 from ..lang.passes import BUILTINS
 from ..lang.stratify import Key, key, uses
+from . import paths
 from .relation import Relation, checkpoint, counted, empty, ensure_checkpoint_dir, estimated_bytes, written
 from .rules import Lookup, compile_rule
 
@@ -153,6 +156,13 @@ def solve(
     if len(part) == 1 and seeds is None and part[0] not in base:
         own = {k: linear(k, rs) for k, rs in own.items()}
     rules = [r for rs in own.values() for r in rs]
+    walked: dict[Key, DataFrame] = {}
+    walks = 0
+    if seeds is None and limit >= MAX_ROUNDS and not any(k in base for k in part) and (found := paths.solve(part, rules, types, outer)):
+        walked, left, walks = found
+        if left is None:
+            return {k: Relation(df, types[k]) for k, df in walked.items()}, walks
+        once.update({k: written(r) for k, r in left.items()})
 
     def variant(rule: Rule, at: int | None, delta: dict[Key, Relation], full: dict[Key, Relation]) -> DataFrame:
         def lookup(k: Key, i: int) -> Relation:
@@ -203,7 +213,8 @@ def solve(
             live = {k for k in fresh if counts[k]}
             for k in live:
                 full[k].add(fresh[k], counts[k])
-    return {k: full[k].relation for k in part}, rounds
+    out = {k: full[k].relation for k in part}
+    return {k: Relation(walked[k].union(r.df), r.types) if k in walked else r for k, r in out.items()}, walks + rounds
 
 
 __all__ = ["MAX_ROUNDS", "checkpoint", "ensure_checkpoint_dir", "solve"]

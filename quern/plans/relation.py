@@ -28,6 +28,12 @@ class Relation:
     df: DataFrame
     types: tuple[str, ...]
     rows: int | None = None  # where it was counted
+    bag: DataFrame | None = None  # the same rows in the order they are read, some perhaps repeated
+
+    @property
+    def rows_of(self) -> DataFrame:
+        """The rows, some perhaps repeated, without the shuffle that makes them distinct."""
+        return self.df if self.bag is None else self.bag
 
     def distinct(self) -> Relation:
         return Relation(self.df.distinct(), self.types)

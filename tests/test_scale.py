@@ -7,8 +7,10 @@ import pytest
 
 from quern import epistemic
 from quern.engine import Engine, Options
+from quern.errors import RecursionLimit
+from quern.lang.parser import parse
 from quern.operators import candidates, multiway
-from quern.plans import fixpoint, rules
+from quern.plans import fixpoint, paths, rules
 from quern.queries import QUERIES
 from quern.sources import files
 
@@ -147,3 +149,78 @@ def test_nonlinear_closure_runs_as_the_linear_one(spark):
     assert set(got) == want and len(got) == len(want)
     kept = Engine(spark).run(text + " p(90, 91). p(91, 92).", {"e": spark.createDataFrame([(1, 2)], "a long, b long")}).queries[0]
     assert {tuple(r) for r in kept.collect()} == {(1, 2), (90, 91), (91, 92), (90, 92)}
+
+
+WALKS = [
+    "p(X, Y) :- e(X, Y). p(X, Z) :- p(X, Y), e(Y, Z). ?- p(X, Y).",
+    "p(X, Y) :- e(X, Y). p(X, Z) :- p(X, Y), p(Y, Z). ?- p(X, Y).",
+    "p(X, Y) :- e(X, Y). p(X, Z) :- e(X, Y), p(Y, Z). ?- p(X, Y).",
+    "odd(X, Y) :- e(X, Y). odd(X, Z) :- even(X, Y), e(Y, Z). even(X, Z) :- odd(X, Y), e(Y, Z). ?- even(X, Y).",
+    "p(X, Y) :- f(X, Y). q(X, Z) :- e(Y, Z), p(X, Y). p(X, Z) :- q(X, Y), f(Y, Z). p(X, Z) :- p(X, Y), e(Y, Z). ?- q(X, Y).",
+]
+
+
+def pieces(rnd, n):
+    """Chains, circles and denser parts, in no order."""
+    out = set()
+    for base in range(0, n * 10, 10):
+        size = rnd.randint(2, 9)
+        out |= {(base + i, base + i + 1) for i in range(size - 1)} if base % 30 else {(base + rnd.randrange(size), base + rnd.randrange(size)) for _ in range(2 * size)}
+    out = list(out)
+    rnd.shuffle(out)
+    return out
+
+
+def walked(text, rels):
+    """The last query by hand: pairs of every predicate, a rule at a time, until nothing is new."""
+    rules = [r for r in parse(text).rules]
+    known = {n: set(rows) for n, rows in rels.items()}
+    while True:
+        before = sum(map(len, known.values()))
+        for r in rules:
+            x, *rest = sorted(r.body, key=lambda a: a.args[0] != r.head.args[0])
+            made = known.get(x.name, set())
+            for y in rest:
+                made = {(a, d) for a, b in made for c, d in known.get(y.name, set()) if b == c}
+            known.setdefault(r.head.name, set()).update(made)
+        if sum(map(len, known.values())) == before:
+            return known
+
+
+@pytest.mark.parametrize(
+    ("texts", "kind", "sizes"),
+    [(WALKS[3:], "long", {"PART_EDGES": 7, "CELLS": 40, "BLOCK_EDGES": 5, "ROWS": 3}), (WALKS[1:3], "long", {"CHUNK_EDGES": 2, "TASK_EDGES": 3}), (WALKS[3:4], "string", {})],
+)
+def test_walks_equal_the_rules(spark, monkeypatch, texts, kind, sizes):
+    """Parts of any size, cut among tasks, walked in blocks or left to rounds."""
+    rnd, to = random.Random(31), int if kind == "long" else lambda v: f"n{v}"
+    rels = {n: [(to(a), to(b)) for a, b in pieces(rnd, 12)] for n in "ef"}
+    inputs = {n: spark.createDataFrame(rows, f"a {kind}, b {kind}").repartition(3) for n, rows in rels.items()}
+    for name, n in ({"LEAST_BYTES": 0} | sizes).items():
+        monkeypatch.setattr(paths, name, n)
+    for text in texts:
+        result = Engine(spark).run(text, inputs)
+        want = walked(text, rels)
+        for p in {r.head.name for r in parse(text).rules}:
+            got = [tuple(r) for r in result.relation(p, 2).collect()]
+            assert set(got) == want[p] and len(got) == len(want[p]) and got, (text, p)
+
+
+def test_long_walks_take_few_rounds(spark, monkeypatch):
+    """mutual_recursion_parity over chains of 300: one round a step before."""
+    monkeypatch.setattr(paths, "LEAST_BYTES", 0)
+    edges = spark.range(900).where("id % 300 != 299").selectExpr("id as a", "id + 1 as b")
+    result = Engine(spark).run(WALKS[3], {"e": edges})
+    got = result.queries[0]
+    assert got.where("Y - X < 2 OR (Y - X) % 2 = 1").isEmpty() and got.distinct().count() == got.count() == 3 * sum(300 - d for d in range(2, 300, 2))
+    assert max(c.rounds for c in result.components) <= 3
+
+
+def test_walks_with_nulls_or_limits_go_by_rounds(spark, monkeypatch):
+    """A null end starts or ends walks but joins nothing."""
+    monkeypatch.setattr(paths, "LEAST_BYTES", 0)
+    edges = spark.createDataFrame([(None, 1), (1, 2), (2, None), (None, None)], "a long, b long")
+    got = {tuple(r) for r in Engine(spark).run(WALKS[0], {"e": edges}).queries[0].collect()}
+    assert got == {(None, 1), (None, 2), (None, None), (1, 2), (1, None), (2, None)}
+    with pytest.raises(RecursionLimit):
+        Engine(spark, Options(max_rounds=2)).run(WALKS[3], {"e": spark.range(9).selectExpr("id as a", "id + 1 as b")})
