@@ -30,6 +30,7 @@ from .relation import Relation, counted, estimated_bytes, stored
 LEAST_BYTES, PART_EDGES, CHUNK_EDGES, TASK_EDGES, CELLS = 1 << 18, 4096, 1 << 19, 1 << 20, 1 << 21
 #: Edges that a task walks at once, if parts end there; rows of an Arrow batch.
 BLOCK_EDGES, ROWS = 1 << 15, 1 << 16
+FEW_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -100,6 +101,11 @@ def whole(batches: list[pa.RecordBatch]) -> list[pa.Array]:
     return [pa.concat_arrays([b.column(i) for b in batches]) for i in range(batches[0].num_columns)]
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join with at most that many rows, which saves shuffling the other where they are few."""
+    return F.broadcast(df) if rows <= FEW_ROWS else df
+
+
 def contracted(limit: int | None):
     """Edges with the root of their part, as far as edges of one task, at most limit of them, tell."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +250,14 @@ def solve(part: list[Key], rules: list[Rule], types: dict[Key, tuple[str, ...]],
         return {}, left(marked), 0
     rounds = 1
     ends = marked.select(F.col("c0").alias("node"), "root").unionAll(marked.select("c1", "root"))
-    shared = ends.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    links, count = counted(ends.join(shared, "node").where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
+    shared, count = counted(ends.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("node", "least"))
     if count:
+        links, count = counted(ends.join(few(shared, count), "node").where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
         to, more = parts(links, count, kind)
-        marked, rounds = marked.join(to.toDF("root", "part"), "root", "left").select("c0", "c1", "edge", F.coalesce("part", "root").alias("root")), rounds + more
+        to = few(to.toDF("root", "part"), 2 * count)
+        marked, rounds = marked.join(to, "root", "left").select("c0", "c1", "edge", F.coalesce("part", "root").alias("root")), rounds + more
     big, count = counted(marked.groupBy("root").count().where(F.col("count") > PART_EDGES).select("root"))
+    big = few(big, count)
     mine = marked.join(big, "root", "left_anti").select("c0", "c1", "edge", "root") if count else marked
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = mine.repartition(tasks, "root").sortWithinPartitions("root").mapInArrow(walks(a.starts, a.moves, len(part), CELLS), f"c0 {kind}, c1 {kind}, state tinyint")
